@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkfathom.llm import components, crosssplit, graydup, textform
+from inkfathom.llm import bpe, components, crosssplit, graydup, sentences, textform, truncation
 from inkfathom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,12 +18,17 @@ def _essays(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "p1_found": lambda s, d: truncation.truncated_essays(_essays(s, d)),
+        "p1_sources": lambda s, d: truncation.truncation_by_source(_essays(s, d)),
+        "p1_limits": lambda s, d: truncation.storage_limits(_essays(s, d)),
         "p2_found": lambda s, d: components.essay_groups(_essays(s, d)),
         "p2_splits": lambda s, d: components.verdict_splits(_essays(s, d), table(s, d, "sentence_verdicts"), table(s, d, "split_targets")),
+        "p3_found": lambda s, d: sentences.sentences_found(_essays(s, d)),
         "p4_found": lambda s, d: graydup.near_duplicate_pairs(_essays(s, d)),
         "p4_classes": lambda s, d: graydup.near_duplicate_classes(table(s, d, "documents")),
         "p5_found": lambda s, d: textform.same_look_pairs(_essays(s, d)),
         "p6_found": lambda s, d: crosssplit.cross_split_pairs(_essays(s, d)),
+        "p7_ids": lambda s, d: bpe.encode_texts(table(s, d, "documents")),
         "p6_report": lambda s, d: crosssplit.cross_split_report(_essays(s, d)),
     }
 
