@@ -18,6 +18,7 @@ letters look different and stay. A null text stays null; an empty text stays emp
 from __future__ import annotations
 
 import functools
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -95,7 +96,9 @@ def fold_python(text: str) -> str:
     """The folded form of one text, for operators that already hold it in Python; same tables, same steps."""
     if text.isascii():
         return text
-    one, many, looks = _translations()
+    one, looks, touched = _translations()
+    if not touched.search(text):
+        return text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text).translate(looks)
     if JOINER in text:
         import regex
 
@@ -104,10 +107,11 @@ def fold_python(text: str) -> str:
 
 
 @functools.cache
-def _translations() -> tuple[dict, dict, dict]:
+def _translations() -> tuple[dict, dict, re.Pattern]:
     one, many, looks = tables()
     first = str.maketrans(one | {c: to for c, to in many.items() if c < "ﭐ"} | dict.fromkeys(INVISIBLE, "") | {KEPT: JOINER})
-    return first, {}, str.maketrans(looks)
+    touched = {c for c in [*one, *many, *looks, *INVISIBLE, KEPT] if ord(c) > 127}
+    return first, str.maketrans(looks), re.compile(f"[{re.escape(''.join(sorted(touched)))}]")
 
 
 #: Outer white space as the tables define it.
