@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkfathom.llm import bpe, components, crosssplit, graydup, sentences, textform, truncation
+from inkfathom.llm import bpe, components, crosssplit, graydup, leakage, personal, sentences, textform, truncation
 from inkfathom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,10 @@ def queries() -> dict[str, Query]:
         "p5_found": lambda s, d: textform.same_look_pairs(_essays(s, d)),
         "p6_found": lambda s, d: crosssplit.cross_split_pairs(_essays(s, d)),
         "p7_ids": lambda s, d: bpe.encode_texts(table(s, d, "documents")),
+        "p8_found": lambda s, d: leakage.leaked_items(table(s, d, "documents"), table(s, d, "heldout_items")),
+        "p8_items": lambda s, d: leakage.leaks_by_item(table(s, d, "documents"), table(s, d, "heldout_items")),
+        "p9_found": lambda s, d: personal.personal_spans(table(s, d, "documents")),
+        "p9_redacted": lambda s, d: personal.redacted(table(s, d, "documents")),
         "p6_report": lambda s, d: crosssplit.cross_split_report(_essays(s, d)),
     }
 

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -130,7 +131,7 @@ def cascade(lang: str) -> tuple:
 
 _CANDIDATE = regex.compile(rf"[{TERMINAL}]+(?:[{CLOSE}]|[^\S\n]»|(?<=„[^„“”\n]*)“)*")
 _THAI_CANDIDATE = regex.compile(rf"[{TERMINAL}]+[{CLOSE}]*|(?=(?<=\S)[^\S\n]+\S)")
-_ODD = regex.compile(f"[{regex.escape(INVISIBLE)}̀-ͯ٠-٩０-９Ａ-Ｚａ-ｚͰ-ϿЀ-ӿ]|[ﬀ-ﬆ]")
+_ODD = re.compile(f"[{re.escape(INVISIBLE)}̀-ͯ٠-٩０-９Ａ-Ｚａ-ｚͰ-ϿЀ-ӿ]|[ﬀ-ﬆ]")
 _SKIP = frozenset(INVISIBLE)
 
 
