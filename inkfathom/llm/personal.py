@@ -40,20 +40,21 @@ EMAIL = regex.compile(rf"(?i)(?<![a-z0-9._%+-])[a-z0-9][a-z0-9._%+-]*{AT}[a-z0-9
 EMAIL_CUE = re.compile(r"@|[\s\[({][aA][tT][\])}\s]\s?[A-Za-z0-9-]+(?:\.[A-Za-z]|\s?[\[({]?\s?[dD][oO][tT][\s\])}])")
 #: Cheap tests that each candidate of the slower patterns passes.
 NUMBER_CUE = re.compile(r"\d(?:[A-Z .\-/()]{0,3}\d){5}")
-STREET_CUE = re.compile(
-    r"\d[a-zA-Z]?(?: bis| ter)?,? (?:[^\W\d_a-z]|rue|bd|boul|av|place|chemin|quai|impasse|all)|(?:[cC]alle|[pP]laza|paseo|camino|vda\.|venida|ronda|[cC]/)|(?:[^\W\d_a-z]\w*\.?|[Ss]tr\.) \d"
-)
+STREET_CUES = ("alle", "laza", "aseo", "amino", "vda", "venida", "onda", "C/", "c/", "gasse", "weg", "straße", "strasse", "str.", "platz", "allee", "ufer", "damm", "ring ", "steig", "pfad", "Am ", "An der ", "Im ", "Zum ", "Zur ", "Auf de", "Unter den ", "Alte", "Neue ", "Große ")
 NUMBER = regex.compile(r"(?<![\p{Nd}A-Za-z])(?:\+\s?|\((?=\d))?(?:[A-Z]{1,3}[- ]?)?\d(?:[A-Z](?=\d)|[ .\-/()]{0,2}\d)*(?:-?[A-Z](?![A-Za-z])|(?<=[A-Z]{2} \d\d \d\d \d\d) [A-Z](?![A-Za-z]))?(?!\p{Nd})(?![A-Za-z])")
 _EN = "Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Drive|Dr|Court|Ct|Close|Way|Place|Pl|Square|Sq|Terrace|Boulevard|Blvd|Crescent|Row|Hill|Park"
 _CAP = r"\p{Lu}[\p{L}'’.-]*"
 UNIT = r"(?:,? (?:Apt|Unit|Flat|Suite|Ste|No|Room|Apartment|Floor)\.? ?\d*[A-Z]?\d*|,? ?#\d+[A-Z]?|, \d+\.?º(?: [A-Z](?!\p{L}))?|, \d+\. Stock)"
 TOWN = rf"(?:, (?:\d{{4,6}} )?{_CAP}(?:[ -](?:{_CAP}|sur|de|del|la|am|an|der))*(?:, [A-Z]{{2}})?(?: \d{{4,6}})?)"
-STREET = regex.compile(
+STREETS_BY_NUMBER = regex.compile(
     rf"(?<![\p{{L}}\p{{Nd}}])(?:\d{{1,5}}[a-zA-Z]?(?: bis)? (?:{_CAP} ){{1,3}}(?:{_EN})\b\.?(?=[\s,.;)!?]|$)"
-    rf"|(?:calle|plaza|paseo|camino|avda\.|avenida|ronda|c/|C/|Calle|Plaza|Avenida|Avda\.) ?(?:(?:de|del|la|las|los|el) )*{_CAP}(?: {_CAP})*,? (?:n\.?º ?|núm\. )?\d{{1,5}}"
-    rf"|\d{{1,5}}(?: bis| ter)?,? (?:rue|bd|boulevard|avenue|av\.|place|chemin|quai|impasse|allée) (?:(?:de|du|des|la|le|les) |de l')*{_CAP}"
+    rf"|\d{{1,5}}(?: bis| ter)?,? (?:rue|bd|boulevard|avenue|av\.|place|chemin|quai|impasse|allée) (?:(?:de|du|des|la|le|les) |de l')*{_CAP})"
+)
+STREETS_BY_NAME = regex.compile(
+    rf"(?<![\p{{L}}\p{{Nd}}])(?:(?:calle|plaza|paseo|camino|avda\.|avenida|ronda|c/|C/|Calle|Plaza|Avenida|Avda\.) ?(?:(?:de|del|la|las|los|el) )*{_CAP}(?: {_CAP})*,? (?:n\.?º ?|núm\. )?\d{{1,5}}"
     rf"|(?:\p{{Lu}}[\p{{L}}-]*(?:gasse|weg|straße|strasse|str\.|platz|allee|ufer|damm|ring|steig|pfad)|(?:Am|An der|Im|Zum|Zur|Auf der|Auf dem|Unter den|Alte|Alter|Neue|Große) {_CAP}(?: {_CAP})?) \d{{1,4}}[a-z]?(?!\d|\.\d|\p{{L}}))"
 )
+HOUSE = re.compile(r"\d[a-zA-Z]?(?: bis| ter)?,? (?:[^\W\d_a-z]|rue|bd|boul|ave|av\.|place|chemin|quai|impasse|allée)")
 UNIT_AT, TOWN_AT = regex.compile(UNIT), regex.compile(TOWN)
 _WORD = r"(?:\p{Lu}\p{M}*(?:[\p{L}\p{M}]|['’-](?=\p{L}))+)"
 NAMES = regex.compile(rf"(?<![\p{{L}}\p{{M}}\p{{Nd}}@._+-]){_WORD}(?:(?:,? ){_WORD}|,? \p{{Lu}}\.)+(?![\p{{L}}\p{{M}}@_+]|-\p{{L}})")
@@ -63,7 +64,7 @@ _UPPER = "".join(c for c in map(chr, range(0x41, 0x530)) if c.isupper())
 #: A capital word and another part of a name after it.
 NAMES_CUE = re.compile(rf"[{_UPPER}][^\W\d_]+[^\s,]*,? [{_UPPER}]")
 #: After these a name may stand in lower case.
-INTRODUCED_CUE = re.compile(r"(?:ame is|ording to|draft to|tter from|ongs to|ask for|ack then|ounselor|ontact:|igned,|e llamo|acias a|appelle|erci à|h heiße|anke an|cerely,)[ \n][^\W\d_A-Z][^\W\d_]+,? [^\W\d_A-Z]")
+INTRODUCED_CUES = ("my name is ", "according to ", "draft to ", "letter from ", "belongs to ", "ask for ", "back then ", "counselor ", "contact: ", "signed, ", "me llamo ", "gracias a ", "je m'appelle ", "merci à ", "ich heiße ", "danke an ", "sincerely,\n")
 INTRODUCED = regex.compile(
     r"(?i:(?:my name is|according to|draft to|letter from|belongs to|ask for|back then|counselor|contact:|signed,|me llamo|gracias a|je m'appelle|merci à|ich heiße|danke an) |sincerely,\n)"
     r"((\p{Ll}[\p{Ll}\p{M}-]+),?(?: \p{Ll}\.)? (\p{Ll}[\p{Ll}\p{M}-]+)(?:, \p{Ll}\.| \p{Ll}\.)?)(?=[\s,.;)(]|$)"
@@ -118,7 +119,10 @@ def candidates(s: str, common: frozenset[str]) -> list[tuple[int, int, str, list
         features = ["shape=" + _shape(t), f"digits={digits}", f"plus={t[0] == '+'}", f"zero={t[0] == '0'}", f"letters={any(c.isalpha() for c in t)}", f"seps={''.join(sorted({c for c in t if not c.isalnum()}))}", f"groups={len(regex.findall(r'[0-9]+', t))}"]
         for kind in ("phone", "id_number"):
             add(a, b, kind, features)
-    for m in STREET.finditer(s) if STREET_CUE.search(s) else ():
+    streets = list(STREETS_BY_NUMBER.finditer(s)) if HOUSE.search(s) else []
+    if any(x in s for x in STREET_CUES):
+        streets += STREETS_BY_NAME.finditer(s)
+    for m in streets:
         a, b = m.start(), m.end()
         ends = [(b, 0)]
         unit = UNIT_AT.match(s, b)
@@ -131,7 +135,8 @@ def candidates(s: str, common: frozenset[str]) -> list[tuple[int, int, str, list
             while e > a and s[e - 1] in ".,;":
                 e -= 1
             add(a, e, "address", [f"parts={parts}", f"rest={len(ends) - 1 - [p for _, p in ends].index(parts)}", f"code={bool(regex.search(r'[0-9]{4,6}$', s[a:e]))}"])
-    for m in INTRODUCED.finditer(s) if INTRODUCED_CUE.search(s) else ():
+    low = s.lower()
+    for m in INTRODUCED.finditer(s) if any(x in low for x in INTRODUCED_CUES) else ():
         words = [m[2], m[3]]
         if not any(w.title() in common for w in words):
             a, b = m.span(1)
