@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from inkfathom.functions import lexicons as L
 from inkfathom.functions import text as X
+from inkfathom.operators.metrics import correlation
 
 MIN_WORDS, MIN_TOKENS = 4, 5
 SURFACE = "n_words mean_word_len long_word_rate root_ttr comma_rate punct_variety em_dash_rate subordination_rate function_word_rate machine_phrase_rate machine_word_rate hedge_rate booster_rate discourse_marker_rate first_person_rate contraction_rate specificity_rate tricolon antithesis".split()
@@ -67,11 +68,11 @@ def observer_features(tokens: DataFrame, keys: list[str]) -> DataFrame:
         F.count("*").alias("n"), F.avg(lp).alias("mean_logprob"), F.stddev_samp(lp).alias("logprob_sd"), (F.percentile(lp, F.lit(0.75)) - F.percentile(lp, F.lit(0.25))).alias("logprob_iqr"),
         share(F.col("rank") <= 1).alias("frac_rank_top1"), share(F.col("rank") <= 10).alias("frac_rank_top10"), share(F.col("rank") <= 100).alias("frac_rank_top100"), share(F.col("rank") > 1000).alias("frac_rank_tail"),
         F.avg(lr).alias("mean_log_rank"), F.stddev_samp(lr).alias("log_rank_sd"), F.avg("entropy").alias("mean_entropy"), F.stddev_samp("entropy").alias("entropy_sd"), F.avg("mu").alias("m"), F.avg("sigma2").alias("s2"),
-        F.corr(F.when(F.col("prev").isNotNull(), lp), "prev").alias("ac"), F.covar_samp(F.when(F.col("prev").isNotNull(), lp), "prev").alias("cv"),
+        correlation(lp, "prev").alias("ac"),
     )
     a = a.withColumn("lrr", F.when(F.col("mean_log_rank") > 0, -F.col("mean_logprob") / F.col("mean_log_rank")))
     a = a.withColumn("curvature", (F.col("mean_logprob") - F.col("m")) / F.sqrt(F.greatest(F.col("s2"), F.lit(1e-9))))
-    a = a.withColumn("surprisal_autocorr", F.when((F.col("n") > 3) & ~F.isnan("ac"), F.col("ac")))
+    a = a.withColumn("surprisal_autocorr", F.when(F.col("n") > 3, F.col("ac")))
     return a.select(*keys, *(F.when(F.col("n") >= MIN_TOKENS, F.col(c)).alias(c) for c in OBSERVER))
 
 

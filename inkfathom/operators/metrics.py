@@ -10,6 +10,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def correlation(x: str | Column, y: str | Column) -> Column:
+    """Pearson's r of pairs without NULLs; NULL where either does not vary (the built-in raises there in ANSI mode)."""
+    a, b = (F.col(c) if isinstance(c, str) else c for c in (x, y))
+    both = a.isNotNull() & b.isNotNull()
+    p, q = F.when(both, a.cast("double")), F.when(both, b.cast("double"))
+    d = F.stddev_samp(p) * F.stddev_samp(q)
+    return F.when(d > 1e-12, F.covar_samp(p, q) / d)
+
+
 def score_counts(df: DataFrame, score: str, label: str, by: list[str]) -> DataFrame:
     """(by, score, pos, neg): the table that every rank statistic is made from; rows become counts before any window."""
     return df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(*by, F.col(score).alias("s")).agg(F.sum(F.col(label).cast("bigint")).alias("pos"), F.sum((1 - F.col(label)).cast("bigint")).alias("neg"))
