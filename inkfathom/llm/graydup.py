@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkfathom.llm import shingles
-from inkfathom.session import cut_lineage
+from inkfathom.session import checked_broadcast, cut_lineage
 
 BITS, BANDS, ROWS, LEAF, FAN, TILE = 128, 32, 2, 16, 8, 4096
 
@@ -197,12 +197,12 @@ def _search(most: int):
 def near_classes(classes: DataFrame, least: float) -> DataFrame:
     """(a, b, o) of classes with similarity of at least ``least``; o is the number of shared shingles."""
     rows = cut_lineage(classes.select("cls", "sh").mapInArrow(_fingerprints, "node bigint, cls bigint, f0 bigint, f1 bigint"))
-    sizes = rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
-    shared = rows.join(sizes, "node")
-    # Upper nodes beyond a tile: block x block tasks.
+    # Upper nodes beyond a tile, at most rows / TILE of them, become block x block tasks; all others keep one tile.
+    heavy = rows.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > TILE)
+    shared = rows.join(checked_broadcast(cut_lineage(heavy)), "node", "left")
     blocks = F.ceil(F.col("n") / (TILE / 2)).cast("int")
-    block = F.when(F.col("n") > TILE, F.pmod(F.xxhash64("cls"), blocks)).otherwise(F.lit(0)).cast("int")
-    tiles = F.when(F.col("n") > TILE, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.lit(0)))
+    block = F.coalesce(F.pmod(F.xxhash64("cls"), blocks), F.lit(0)).cast("int")
+    tiles = F.coalesce(F.sequence(F.lit(0), blocks - 1), F.array(F.lit(0)))
     placed = shared.withColumn("block", block).withColumn("other", F.explode(tiles))
     placed = placed.select("node", "cls", "f0", "f1", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     parts = placed.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j")
