@@ -111,13 +111,18 @@ def band(p: Column, measurable: Column, in_scope: Column, bands: dict = BANDS) -
     return F.when(~in_scope, "out_of_scope").when(~measurable, "unmeasurable").when(p >= bands["t_machine"], "likely_machine").when(p <= bands["t_human"], "no_evidence").otherwise("insufficient")
 
 
+def clipped(x: Column, p: dict[str, float], cap: float = 5.0) -> Column:
+    """The standardised value within +-cap; NULL gives 0 (least and greatest alone would skip a NULL and give the cap)."""
+    return F.when(x.isNull(), 0.0).otherwise(F.least(F.greatest((x - p["mean"]) / p["scale"], F.lit(-cap)), F.lit(cap)))
+
+
 def contributions(features: dict[str, dict[str, float]], cap: float = 5.0) -> dict[str, Column]:
     """M4: one column per feature: coefficient times the standardised value within +-cap; NULL contributes 0."""
-    return {n: F.lit(p["coef"]) * F.coalesce(F.least(F.greatest((F.col(n) - p["mean"]) / p["scale"], F.lit(-cap)), F.lit(cap)), F.lit(0.0)) for n, p in features.items()}
+    return {n: F.lit(p["coef"]) * clipped(F.col(n), p, cap) for n, p in features.items()}
 
 
 def sigmoid(x: Column) -> Column:
-    return 1 / (1 + F.exp(-F.least(F.greatest(x, F.lit(-30.0)), F.lit(30.0))))
+    return F.when(x.isNotNull(), 1 / (1 + F.exp(-F.least(F.greatest(x, F.lit(-30.0)), F.lit(30.0)))))
 
 
 def standardiser(df: DataFrame, names: list[str]) -> dict[str, dict[str, float]]:
@@ -132,7 +137,7 @@ def fit_detector(df: DataFrame, names: list[str], label: str = "label", c: float
     from pyspark.ml.feature import VectorAssembler
 
     params = standardiser(df, names)
-    z = {n: F.coalesce(F.least(F.greatest((F.col(n) - p["mean"]) / p["scale"], F.lit(-5.0)), F.lit(5.0)), F.lit(0.0)) for n, p in params.items()}
+    z = {n: clipped(F.col(n), p) for n, p in params.items()}
     counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}
     n = sum(counts.values())
     weight = F.when(F.col(label) == 1, n / (2 * counts.get(1, n))).otherwise(n / (2 * counts.get(0, n))) if balanced else F.lit(1.0)

@@ -303,7 +303,7 @@ def scored_surface(s: SparkSession, d: str) -> DataFrame:
     return f.select("doc_id", "sentence_index", "n_words", *(c.alias(n) for n, c in parts.items())).withColumn("logit", F.lit(INTERCEPT) + sum((F.col(n) for n in parts), F.lit(0.0))).withColumn("probability", document.sigmoid(F.col("logit")))
 
 
-_M4 = _GATE_SQL.replace("\nSELECT k1", ", o AS (SELECT k1") + "), c AS (SELECT k1, k2, n_words, " + ", ".join(f"{p['coef']}::DOUBLE * coalesce(least(greatest(({n} - {p['mean']}::DOUBLE) / {p['scale']}::DOUBLE, -5), 5), 0) AS {n}" for n, p in DETECTOR.items()) + f" FROM o), m4 AS (SELECT *, {INTERCEPT}::DOUBLE + {' + '.join(DETECTOR)} AS logit FROM c)"
+_M4 = _GATE_SQL.replace("\nSELECT k1", ", o AS (SELECT k1") + "), c AS (SELECT k1, k2, n_words, " + ", ".join(f"{p['coef']}::DOUBLE * CASE WHEN {n} IS NULL THEN 0 ELSE least(greatest(({n} - {p['mean']}::DOUBLE) / {p['scale']}::DOUBLE, -5), 5) END AS {n}" for n, p in DETECTOR.items()) + f" FROM o), m4 AS (SELECT *, {INTERCEPT}::DOUBLE + {' + '.join(DETECTOR)} AS logit FROM c)"
 
 
 @query("m4_contributions", f"{_M4}\n--\nSELECT k1 AS doc_id, k2 AS sentence_index, {', '.join(DETECTOR)}, logit, 1 / (1 + exp(-least(greatest(logit, -30), 30))) AS probability FROM m4", " ".join([*DETECTOR, "logit", "probability"]))
