@@ -207,7 +207,7 @@ def near_classes(classes: DataFrame, least: float) -> DataFrame:
     placed = placed.select("node", "cls", "f0", "f1", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     parts = placed.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j")
     found = parts.mapInArrow(_search(max_distance(least)), "a bigint, b bigint")
-    return shingles.verified_pairs(found.where("a <> b"), classes, least)
+    return shingles.verified_pairs(shingles.plausible_pairs(found.where("a <> b"), classes, least), classes, least)
 
 
 def near_duplicate_pairs(df: DataFrame, key: str = "id", column: str = "text", k: int = 3, least: float = 0.5) -> DataFrame:
