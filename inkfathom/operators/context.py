@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from inkfathom.functions import lexicons as L
+from inkfathom.operators.runs import map_runs
 
 MIN_SENTENCES, CAP = 5, 6.0
 
@@ -29,7 +29,6 @@ def loo_z(x: np.ndarray) -> np.ndarray:
     order = ok[np.argsort(x[ok], kind="stable")]
     s = x[order]
     spread: dict[float, np.ndarray] = {}
-    n, total, squares = len(s), s.sum(), None
     for i, at in enumerate(order):
         c = _median_without(s, i)
         if c not in spread:
@@ -67,6 +66,17 @@ def style_gap(columns: np.ndarray) -> np.ndarray:
     return np.where(n > 0, np.nansum(gaps, axis=1) / np.maximum(n, 1), np.nan)
 
 
+def burstiness(x: np.ndarray) -> np.ndarray:
+    """W4 on an array: deviation over mean of the finite values among five neighbours."""
+    out = np.full(len(x), np.nan)
+    for i in range(len(x)):
+        w = x[max(0, i - 2) : i + 3]
+        w = w[np.isfinite(w)]
+        if len(w) >= 3 and w.mean() >= 1e-9:
+            out[i] = w.std(ddof=1) / w.mean()
+    return out
+
+
 def _keys(df: DataFrame) -> list[str]:
     return [k for k in L.STYLE_KEYS if k in df.columns]
 
@@ -75,7 +85,7 @@ def context_features(df: DataFrame, key: str = "doc_id", order: str = "sentence_
     """(key, order, F38-F43) of sentence rows that hold the style keys (missing ones count as not measured).
 
     A document is one group of a few hundred sentences at most; the leave-one-out medians have no window form in Spark
-    (ordered windows reject medians), so they are computed per document in Arrow batches. All are NULL under five
+    (ordered windows reject medians), so they are computed on the sorted runs of an Arrow batch. All are NULL under five
     sentences.
     """
     keys = _keys(df)
@@ -85,25 +95,22 @@ def context_features(df: DataFrame, key: str = "doc_id", order: str = "sentence_
     kt, ot = df.schema[key].dataType.simpleString(), df.schema[order].dataType.simpleString()
     schema = f"`{key}` {kt}, `{order}` {ot}, " + ", ".join(f"{n} double" for n in (*names.values(), "style_gap_from_doc", "local_len_burstiness", "rel_position"))
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(order)
-        n = len(part)
-        out = pd.DataFrame({key: part[key], order: part[order]})
-        for c, name in names.items():
-            out[name] = loo_z(part[c].to_numpy(float)) if c in zs and n >= MIN_SENTENCES else np.nan
-        out["style_gap_from_doc"] = style_gap(part[keys].to_numpy(float)) if keys and n >= MIN_SENTENCES else np.nan
-        x = part["n_words"].to_numpy(float) if "n_words" in zs else np.full(n, np.nan)
-        burst = np.full(n, np.nan)
-        for i in range(n if n >= MIN_SENTENCES else 0):
-            w = x[max(0, i - 2) : i + 3]
-            w = w[np.isfinite(w)]
-            if len(w) >= 3 and w.mean() >= 1e-9:
-                burst[i] = w.std(ddof=1) / w.mean()
-        out["local_len_burstiness"] = burst
-        out["rel_position"] = np.arange(n) / max(n - 1, 1) if n >= MIN_SENTENCES else np.nan
+    def run(part: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        n = len(part[key])
+        none = np.full(n, np.nan)
+        out = {key: part[key], order: part[order]} | dict.fromkeys([*names.values(), "style_gap_from_doc", "local_len_burstiness", "rel_position"], none)
+        if n < MIN_SENTENCES:
+            return out
+        for c in zs:
+            out[names[c]] = loo_z(part[c])
+        if keys:
+            out["style_gap_from_doc"] = style_gap(np.stack([part[k] for k in keys], 1))
+        if "n_words" in zs:
+            out["local_len_burstiness"] = burstiness(part["n_words"])
+        out["rel_position"] = np.arange(n) / max(n - 1, 1)
         return out
 
-    got = df.select(key, order, *(F.col(c).cast("double") for c in need)).groupBy(key).applyInPandas(run, schema)
+    got = map_runs(df.select(key, order, *(F.col(c).cast("double") for c in need)), key, [order], run, schema)
     return got.select(key, order, *(F.nullif(F.col(c), F.lit(float("nan"))).alias(c) for c in got.columns if c not in (key, order)))
 
 

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from inkfathom.operators.runs import map_runs
+
 # The limits and thresholds of the served build.
 MAX_WORDS, MIN_TOKENS, PASSAGE_THRESHOLD, FLAG_THRESHOLD = 90, 5, 0.65, 0.3004
 BANDS = {"t_human": 0.0598, "t_machine": 0.8948}
@@ -71,22 +72,19 @@ def verdicts(v: DataFrame, threshold: float = FLAG_THRESHOLD) -> DataFrame:
 def bootstrap_share(v: DataFrame, threshold: float = FLAG_THRESHOLD, n_boot: int = 400, seed: int = 0) -> DataFrame:
     """A5: (doc_id, low, high), the 5th and 95th percentile of the share over resamples of a document's reliable sentences."""
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("sentence_index")
-        p, w = part["probability"].to_numpy(float), part["n_words"].to_numpy(float)
+    def run(part: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        p, w = part["probability"], part["n_words"].astype(float)
         low, high = 0.0, 1.0
         if len(p) >= 3:
-            idx = np.random.default_rng(seed)
-            shares = []
-            for _ in range(n_boot):
-                i = idx.integers(0, len(p), size=len(p))
-                total = w[i].sum()
-                shares.append(w[i][p[i] >= threshold].sum() / total if total > 0 else 0.0)
+            rng = np.random.default_rng(seed)
+            idx = np.stack([rng.integers(0, len(p), size=len(p)) for _ in range(n_boot)])
+            total = w[idx].sum(axis=1)
+            shares = np.divide(np.where(p[idx] >= threshold, w[idx], 0.0).sum(axis=1), total, out=np.zeros(n_boot), where=total > 0)
             low, high = np.percentile(shares, 5), np.percentile(shares, 95)
-        return pd.DataFrame({"doc_id": [part["doc_id"].iloc[0]], "low": [float(low)], "high": [float(high)]})
+        return {"doc_id": part["doc_id"][:1], "low": np.array([low]), "high": np.array([high])}
 
     rows = v.where("reliable AND probability IS NOT NULL AND n_words IS NOT NULL").select("doc_id", "sentence_index", "probability", "n_words")
-    return rows.groupBy("doc_id").applyInPandas(run, "doc_id string, low double, high double")
+    return map_runs(rows, "doc_id", ["sentence_index"], run, "doc_id string, low double, high double")
 
 
 def gate_features(f: DataFrame, names: tuple[str, ...] = ("novel_trigram_rate", "first_person_rate", "specificity_rate"), key: str = "doc_id") -> DataFrame:

@@ -24,13 +24,13 @@ def surface_features(df: DataFrame, text: str = "text") -> DataFrame:
     """
     t = F.col(text)
     # The words are materialised once, behind a generator barrier that Catalyst does not inline.
-    d = df.drop("n_words", "w").withColumn("w", F.explode_outer(F.array(X.words(t))))
-    w = F.col("w")
+    d = df.drop("n_words", "w").withColumn("w", F.explode_outer(F.array(F.struct(X.words(t).alias("w"), F.lower(t).alias("low")))))
+    w = F.col("w.w")
     n = F.size(w)
     in_list = lambda words: F.size(F.filter(w, lambda x: x.isin(*words)))
     per = lambda c: c * (F.lit(100.0) / n)
     found = lambda pattern: F.regexp_count(t, F.lit(pattern))
-    low = F.lower(t)
+    low = F.col("w.low")
     phrases = sum((F.when(F.contains(low, F.lit(p)), 1).otherwise(0) for p in L.MACHINE_PHRASES), F.lit(0))
     columns = {
         "n_words": n.cast("double"),

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from inkfathom.operators.runs import map_runs
+
 # At most six requests in a minute and sixty in an hour.
 PER_MINUTE, PER_HOUR, MINUTE, HOUR = 6, 60, 60, 3600
 
@@ -22,21 +25,20 @@ def admit(times: list[float], now: float) -> tuple[bool, list[float]]:
     return True, [*kept, now]
 
 
-def _replay(part: pd.DataFrame) -> pd.DataFrame:
-    part = part.sort_values(["ts", "event_id"])
+def _replay(part: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     hits: list[float] = []
     out = []
-    for now in part["ts"].astype("int64") / 1e6 if str(part["ts"].dtype).endswith("[us]") else part["ts"].astype("int64") / 1e9:
+    for now in part["ts"] / 1e6:
         ok, hits = admit(hits, now)
         out.append(ok)
-    return pd.DataFrame({"event_id": part["event_id"], "user_id": part["user_id"], "admitted": out})
+    return {"event_id": part["event_id"], "user_id": part["user_id"], "admitted": np.array(out)}
 
 
 def rate_limit(events: DataFrame) -> DataFrame:
     """R1 in batch: (event_id, user_id, admitted). A state machine per user: refusals are not counted, so a range window
     is not equivalent. Rows without a time or user are refused by leaving them out."""
     rows = events.where("user_id IS NOT NULL AND ts IS NOT NULL").select("event_id", "user_id", "ts")
-    return rows.groupBy("user_id").applyInPandas(_replay, "event_id bigint, user_id bigint, admitted boolean")
+    return map_runs(rows, "user_id", ["ts", "event_id"], _replay, "event_id bigint, user_id bigint, admitted boolean")
 
 
 def rate_limit_stream(events: DataFrame) -> DataFrame:
