@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkfathom.llm import bpe, components, crosssplit, graydup, leakage, personal, sentences, textform, truncation
+from inkfathom.llm import bpe, components, crosssplit, graydup, leakage, personal, sentences, shingles, textform, truncation
 from inkfathom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,5 +37,35 @@ def queries() -> dict[str, Query]:
     }
 
 
+def _folded_essays() -> str:
+    """SQL of the relation f: one row per essay with its stored and its folded form."""
+    clean, folded = textform.fold_sql("stored")
+    strip = textform.STRIP.replace("'", "''")
+    return f"""s AS (SELECT id, min(regexp_replace(text, '{strip}', '', 'g')) AS stored FROM essays WHERE id IS NOT NULL AND text IS NOT NULL GROUP BY id),
+c AS (SELECT *, regexp_replace({clean}, '{strip}', '', 'g') AS clean FROM s), f AS (SELECT *, {folded} AS folded FROM c)"""
+
+
+def _similar_essays() -> str:
+    """SQL of the relation p: pairs of essays (a, b), a < b, with a similarity of at least 0.5."""
+    return f"""{_folded_essays()}, w AS (SELECT id, regexp_extract_all(lower(folded), '{shingles.WORD}') AS w FROM f),
+t AS (SELECT DISTINCT id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS t FROM w WHERE len(w) >= 3),
+n AS (SELECT id, count(*) AS n FROM t GROUP BY id), o AS (SELECT x.id AS a, y.id AS b, count(*) AS o FROM t x JOIN t y ON x.t = y.t AND x.id < y.id GROUP BY ALL),
+p AS (SELECT a, b FROM o JOIN n na ON a = na.id JOIN n nb ON b = nb.id WHERE 2 * o >= na.n + nb.n - o)"""
+
+
+_ROLES = "r AS (SELECT id, min(lower(regexp_replace(role, '^\\s+|\\s+$', '', 'g'))) AS role, min(source_id) AS source_id FROM essays GROUP BY id)"
+_CROSS = "(ra.role = 'train' AND rb.role IN ('esl-eval', 'unseen-generator', 'ablation') OR rb.role = 'train' AND ra.role IN ('esl-eval', 'unseen-generator', 'ablation'))"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    cross = f"x AS (SELECT a, b FROM p JOIN r ra ON a = ra.id JOIN r rb ON b = rb.id WHERE {_CROSS})"
+    return {
+        "p2_found": """WITH RECURSIVE k AS (SELECT DISTINCT id, '0' || source_id AS x FROM essays WHERE source_id IS NOT NULL
+UNION SELECT id, '2' || lower(trim(meta->>'author')) FROM essays WHERE trim(meta->>'author') <> '' UNION SELECT e.id, '1' || (e.meta->>'base_doc_id') FROM essays e WHERE e.meta->>'base_doc_id' IN (SELECT id FROM essays) UNION SELECT id, '1' || id FROM essays),
+e AS (SELECT '1' || id AS a, x AS b FROM k UNION SELECT x, '1' || id FROM k), reach AS (SELECT a AS node, b AS other FROM e UNION SELECT reach.node, e.b FROM reach JOIN e ON reach.other = e.a)
+SELECT node[2:] AS id, min(other)[2:] AS group_id FROM reach WHERE node LIKE '1%' GROUP BY node""",
+        "p4_found": f"WITH {_similar_essays()} SELECT a AS id_a, b AS id_b FROM p",
+        "p5_found": f"WITH {_folded_essays()} SELECT a.id AS id_a, b.id AS id_b FROM f a JOIN f b ON a.folded = b.folded AND a.id < b.id AND a.stored <> b.stored",
+        "p6_found": f"WITH {_similar_essays()}, {_ROLES}, {cross} SELECT a AS id_a, b AS id_b FROM x",
+        "p6_report": f"WITH {_similar_essays()}, {_ROLES}, {cross}, h AS (SELECT a AS id FROM x UNION SELECT b FROM x) SELECT role, source_id, count(*) AS essays, count(h.id) AS overlapping FROM r LEFT JOIN h USING (id) WHERE role IN ('esl-eval', 'unseen-generator', 'ablation') GROUP BY ALL",
+    }
