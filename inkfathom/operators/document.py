@@ -148,3 +148,24 @@ def top_contributions(columns: dict[str, Column], k: int = 6) -> Column:
     """K1: the k largest contributions by size, ties in feature order, as an array of (name, contribution)."""
     all_ = F.array(*(F.struct((-F.abs(c)).alias("s"), F.lit(i).alias("i"), F.lit(n).alias("name"), c.alias("contribution")) for i, (n, c) in enumerate(columns.items())))
     return F.transform(F.slice(F.array_sort(all_), 1, k), lambda x: F.struct(x["name"].alias("name"), x["contribution"].alias("contribution")))
+
+
+def out_of_fold(df: DataFrame, names: list[str], group: str, folds: int = 5, label: str = "label") -> DataFrame:
+    """M3 and M8: ``df`` with ``fold`` and the probability of a detector that saw no row of the row's group.
+
+    Groups go whole to folds of about equal size; the loop is over folds, each fit runs distributed. Rows of the null
+    group form one group.
+    """
+    from inkfathom.operators.corpus import fold_of_groups
+    from inkfathom.session import cut_lineage
+
+    key = F.coalesce(F.col(group).cast("string"), F.lit(""))
+    d = df.withColumn("_g", key)
+    d = d.join(fold_of_groups(d.groupBy("_g").agg(F.count("*").alias("_n")), "_n", folds).select("_g", "fold"), "_g").drop("_g")
+    d = cut_lineage(d)
+    out = None
+    for k in range(folds):
+        fitted, intercept = fit_detector(d.where(F.col("fold") != k), names, label)
+        part = d.where(F.col("fold") == k).withColumn("probability", sigmoid(F.lit(intercept) + sum(contributions(fitted).values(), F.lit(0.0))))
+        out = part if out is None else out.unionByName(part)
+    return out

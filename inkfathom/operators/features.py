@@ -85,3 +85,10 @@ def tokens_in_spans(tokens: DataFrame, spans: DataFrame, key: str = "doc_id") ->
     return spans.alias("s").join(tokens.alias("t"), (F.col(f"s.{key}") == F.col(f"t.{key}")) & (centre >= F.col("s.start")) & (centre < F.col("s.end")), "left").select("s.*", "t.tok_idx", "t.logprob", "t.rank", "t.entropy", "t.mu", "t.sigma2")
 
 
+
+
+def head_statistics(candidates: DataFrame, keys: list[str]) -> DataFrame:
+    """Mass of the listed candidates (rows of keys and lp), and mean, variance and entropy of the renormalised head."""
+    p, lp = F.exp("lp"), F.col("lp")
+    m = candidates.groupBy(*keys).agg(F.sum(p).alias("top_mass"), (F.sum(p * lp) / F.sum(p)).alias("mu"), (F.sum(p * lp * lp) / F.sum(p)).alias("q"))
+    return m.select(*keys, "top_mass", "mu", (F.col("q") - F.col("mu") * F.col("mu")).alias("sigma2"), (F.log("top_mass") - F.col("mu")).alias("entropy"))

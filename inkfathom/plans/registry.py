@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkfathom.operators import document
-from inkfathom.plans import core_queries
+from inkfathom.plans import audit_queries, core_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,7 +22,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"flagship": flagship, **core_queries.QUERIES}
+    return {"flagship": flagship, **audit_queries.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
