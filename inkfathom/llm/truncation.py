@@ -44,8 +44,10 @@ _OPEN_TAIL = regex.compile(
     r"(?:(?<![\p{L}\p{M}\p{N}])(?:Mr|Mrs|Ms|Dr|Prof|St|No|Nr|Fig|approx|vs|e\.g|i\.e|e|i|Sr|Sra|núm|ej|ex|env|z|d|u|M|Mme|т|р|डॉ|د)|(?<![\p{L}\p{M}\p{N}])\p{Lu}|[¿¡(\[«“„「『]\W*)\.?\Z"
 )
 _CLOSING = regex.compile(
-    r"(?:[—–~*-]+\s*\p{L}[\p{L}.'’ -]{0,40}[\s~*-]*|\(?\s*\d[\d.,]*\s*\p{L}+\s*\)?|\p{L}+(?: \p{L}+)?\s*:\s*\d[\d.,]*|\p{L}+ \d+ \p{L}+ \d+|(?i:the end|end|fin|fine|ende|конец|完|終|終わり|समाप्त|النهاية|จบ)|(?i:thank(?:s| you)\b.{0,40}|submitted\b.{0,60})|#+|\*+)[.!]?\Z"
+    r"(?:[—–~*-]+\s*\p{L}[\p{L}.'’ -]{0,40}[\s~*-]*|\(?\s*\d[\d.,]*\s*\p{L}+\s*\)?|\p{L}+(?: \p{L}+)?\s*:\s*\d[\d.,]*|\p{L}+ \d+ \p{L}+ \d+|(?i:the end|end|fin|fine|ende|конец|完|終|終わり|समाप्त|النهاية|จบ)|(?i:thank(?:s| you)\b.{0,40}|submitted(?: \S+){3,9})|#+|\*+)[.!]?\Z"
 )
+# A closing line does not stop at one of these.
+_UNDONE = regex.compile(r"(?i)\b(?:for|the|to|of|and|a|my|your|in|on|at|by)\Z")
 _BLANK = regex.compile(r"\n[^\S\n]*\n\s*")
 _THAI = regex.compile(r"[\p{Thai}]\Z")
 
@@ -67,7 +69,7 @@ def _features(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             words = t.split()
             blocks = _BLANK.split(t)
             line = blocks[-1] if len(blocks) > 1 and len(blocks[-1]) <= 80 and "\n" not in blocks[-1] else None
-            closing = bool(line and _CLOSING.match(line) and not (_MARK.search(line) or _DOTS.search(line)))
+            closing = bool(line and _CLOSING.match(line) and not _UNDONE.search(line) and not (_MARK.search(line) or _DOTS.search(line)))
             mark = bool(_MARK.search(t))
             dots = bool(_DOTS.search(t))
             thai = bool(_THAI.search(t))
@@ -75,7 +77,7 @@ def _features(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             more = n == n and n is not None and n >= len(words) + MORE_WORDS and n >= MORE_FACTOR * len(words)
             last = words[-1].rstrip(".…") if words else ""
             first = " ".join(regex.split(r"(?<=[.!?。！？؟।])\s+", blocks[-1])[-1].split()[:2]) if dots else None
-            skeleton = regex.sub(r"\d+", "#", line) if line and not _END.search(line) else None
+            skeleton = regex.sub(r"\d+", "#", line) if line and " " in line and not _END.search(line) else None
             rows.append((key, source, list(lengths(text)), closing, mark, dots, thai, ended, bool(more), last, first, skeleton, t[-4:] if thai else None, not t))
         yield pd.DataFrame(rows, columns=["id", "source_id", "lens", "closing", "mark", "dots", "thai", "ended", "more", "last", "first", "skeleton", "tail", "blank"])
 
