@@ -105,3 +105,40 @@ def fit_bands(df: DataFrame, score: str, label: str, fpr: float = 0.05, miss: fl
     crossed = F.col("h") > F.col("m")
     mid = (F.col("h") + F.col("m")) / 2
     return a.select(F.when(crossed, mid).otherwise(F.col("m")).alias("t_machine"), F.when(crossed, mid).otherwise(F.col("h")).alias("t_human"))
+
+
+def budget_cut(df: DataFrame, score: str, budget: float, side: str = "above", alpha: float = 0.05) -> DataFrame:
+    """(cut, k, n): for ``above`` the lowest cut at which the rows at or above it, for ``below`` the highest at
+    which the rows below it, stay within ``budget`` at the exact upper bound. Scores are counted to four digits first."""
+    c = df.where(F.col(score).isNotNull()).groupBy(F.bround(score, 4).alias("s")).agg(F.count("*").alias("c"))
+    one = W.partitionBy(F.lit(0))
+    k = F.sum("c").over(one.orderBy(F.desc("s"))) if side == "above" else F.sum("c").over(one.orderBy("s")) - F.col("c")
+    c = c.withColumn("k", k).withColumn("n", F.sum("c").over(one)).withColumn("ub", cp_upper(alpha)("k", "n")).where(F.col("ub") <= budget)
+    return c.orderBy("s" if side == "above" else F.desc("s")).limit(1).select(F.col("s").alias("cut"), "k", "n")
+
+
+def auroc_resampled(df: DataFrame, score: str, label: str, draws: int = 2000, seed: int = 0) -> DataFrame:
+    """One row with the AUROC, its bootstrap interval, the 95th percentile under shuffled labels and the p-value.
+
+    Only counts by score (four digits, at most 10,001 rows) reach the driver; a shuffle of the labels is a draw from the
+    multivariate hypergeometric distribution of the counts, a resample a multinomial one.
+    """
+    import numpy as np
+
+    counts = score_counts(df.withColumn(score, F.bround(score, 4)), score, label, []).orderBy("s").toPandas()
+    pos, neg = counts["pos"].to_numpy(np.int64), counts["neg"].to_numpy(np.int64)
+    schema = "auroc double, low double, high double, null95 double, p_value double"
+    if not pos.sum() or not neg.sum():
+        return df.sparkSession.createDataFrame([], schema)
+
+    def area(p: np.ndarray, n: np.ndarray) -> np.ndarray:
+        below = np.cumsum(n, axis=-1) - n
+        return (p * (below + n / 2)).sum(axis=-1) / (p.sum(axis=-1) * n.sum(axis=-1))
+
+    rng = np.random.default_rng(seed)
+    value = float(area(pos, neg))
+    boot = area(rng.multinomial(pos.sum(), pos / pos.sum(), draws), rng.multinomial(neg.sum(), neg / neg.sum(), draws))
+    shuffled = rng.multivariate_hypergeometric(pos + neg, int(pos.sum()), draws, method="marginals")
+    null = area(shuffled, (pos + neg) - shuffled)
+    low, high = np.percentile(boot, [2.5, 97.5])
+    return df.sparkSession.createDataFrame([(value, float(low), float(high), float(np.percentile(null, 95)), float((1 + (null >= value).sum()) / (1 + draws)))], schema)

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from inkfathom.functions import lexicons as L
 
-from inkfathom.operators import corpus, document, features, metrics
-from inkfathom.plans.core_queries import DS, ES, QUERIES, SC, SV, docs_scored, es, query, r6, sc, sv
+from inkfathom.operators import corpus, document, features, metrics, ngram
+from inkfathom.plans.core_queries import DS, ES, LP, QUERIES, SC, SV, docs_scored, es, model, query, r6, sc, sentences, sv
 from inkfathom.session import table
 
 
@@ -204,3 +204,23 @@ def _(s, d):
 
 
 QUERIES["m3_grouped_out_of_fold"] = lambda s, d: r6(document.out_of_fold(docs_scored(s, d).where("label IS NOT NULL"), ["mean_p", "max_p", "q90_p", "share"], "source").select("doc_id", "fold", "probability"))
+
+
+@query("f37_fluency_gap", f"WITH {LP}, f AS (SELECT k1, k2, avg(-logprob) AS m, avg(logprob) AS l, count(*) AS n FROM lp GROUP BY k1, k2)\n--\nSELECT k1, k2, CASE WHEN n >= 5 THEN m + l END AS fluency_typicality_gap FROM f", "fluency_typicality_gap")
+def _(s, d):
+    m = model(s, d)
+    rows = sentences(s, d)
+    keys = ["k1", "k2"]
+    return ngram.corpus_features(rows, keys, m).join(features.observer_features(ngram.observe(rows, keys, m), keys), keys).select(*keys, (F.col("corpus_surprisal_mean") + F.col("mean_logprob")).alias("fluency_typicality_gap"))
+
+
+@query("a30_disagreement_counts", f"WITH {DS}\n--\nSELECT sum(((mean_p >= 0.5) = (label = 1) AND (max_p >= 0.5) <> (label = 1))::INT)::BIGINT AS only_first, sum(((mean_p >= 0.5) <> (label = 1) AND (max_p >= 0.5) = (label = 1))::INT)::BIGINT AS only_second FROM ds WHERE label IS NOT NULL")
+def _(s, d):
+    x = docs_scored(s, d).where("label IS NOT NULL")
+    right = lambda c: (F.col(c) >= 0.5) == (F.col("label") == 1)
+    return x.agg(F.sum((right("mean_p") & ~right("max_p")).cast("bigint")).alias("only_first"), F.sum((~right("mean_p") & right("max_p")).cast("bigint")).alias("only_second"))
+
+
+QUERIES["a19_document_cut"] = lambda s, d: r6(metrics.budget_cut(docs_scored(s, d).where("label = 0"), "mean_p", 0.05))
+QUERIES["a20_gate_threshold"] = lambda s, d: r6(metrics.budget_cut(docs_scored(s, d).where("label = 0"), "share", 0.02, "below"))
+QUERIES["a27_a28_resampled_auroc"] = lambda s, d: r6(metrics.auroc_resampled(sc(s, d), "probability", "label"))

@@ -187,3 +187,14 @@ def test_first_wins_and_budget(spark):
     assert sorted(r.id for r in corpus.first_by(df, ["sha"], ["seq"]).collect()) == ["a", "c"]
     c = spark.createDataFrame([(i, 4.0) for i in range(5)], "i int, cost double")
     assert [r.i for r in corpus.within_budget(c, [], ["i"], "cost", 9.0).orderBy("i").collect()] == [0, 1, 2]
+
+
+def test_resampled_auroc_and_budget_cut(spark):
+    r = random.Random(8)
+    df = spark.createDataFrame([(min(1.0, max(0.0, r.gauss(0.4 + 0.2 * (i % 2), 0.2))), i % 2) for i in range(400)], "p double, y int")
+    x = metrics.auroc_resampled(df, "p", "y", 500).first()
+    assert x.low <= x.auroc <= x.high and x.p_value < 0.05 < x.null95 < 0.6
+    assert metrics.auroc_resampled(df.where("y = 1"), "p", "y").count() == 0
+    c = metrics.budget_cut(df.where("y = 0"), "p", 0.1).first()
+    assert c.k / c.n <= 0.1 and metrics.budget_cut(df.where("y = 0"), "p", 0.1, "below").first().k <= c.n * 0.1
+    assert metrics.budget_cut(df.where("y = 5"), "p", 0.1).count() == 0
