@@ -162,7 +162,7 @@ def _(s, d):
 NG = f"""rw AS (SELECT item_id, generate_subscripts(w, 1) AS pos, unnest(w) AS w0 FROM (SELECT item_id, {WORDS} AS w FROM heldout_items)), vocab AS (SELECT w0 AS v FROM rw GROUP BY w0 HAVING count(*) >= 2), rm AS (SELECT item_id, pos, coalesce(v, '<unk>') AS w FROM rw LEFT JOIN vocab ON w0 = v),
 ctx AS (SELECT w, coalesce(lag(w, 1) OVER o, '<s>') AS b, coalesce(lag(w, 2) OVER o, '<s>') AS a FROM rm WINDOW o AS (PARTITION BY item_id ORDER BY pos)), uni AS (SELECT w, count(*) AS c FROM rm GROUP BY w), bi AS (SELECT b, w, count(*) AS c FROM ctx GROUP BY ALL), tri AS (SELECT a, b, w, count(*) AS c FROM ctx GROUP BY ALL),
 meta AS (SELECT (SELECT count(*) FROM rm) AS total_tokens, (SELECT count(*) + 1 FROM vocab) AS vocab_size, (SELECT count(*) FROM heldout_items) AS n_documents)"""
-LP = f"""{NG}, sw AS (SELECT k1, k2, generate_subscripts(w, 1) AS pos, unnest(w) AS w0 FROM (SELECT doc_id AS k1, sentence_index AS k2, {WORDS} AS w FROM (SELECT DISTINCT doc_id, sentence_index, text FROM sentence_verdicts WHERE sentence_index < 1000000))), sm AS (SELECT k1, k2, pos, coalesce(u.w, '<unk>') AS w FROM sw LEFT JOIN (SELECT w FROM uni WHERE w <> '<unk>') u ON w0 = u.w),
+LP = f"""{NG}, sw AS (SELECT k1, k2, generate_subscripts(w, 1) AS pos, unnest(w) AS w0 FROM (SELECT doc_id AS k1, sentence_index AS k2, {WORDS} AS w FROM (SELECT DISTINCT doc_id, sentence_index, text FROM sentence_verdicts))), sm AS (SELECT k1, k2, pos, coalesce(u.w, '<unk>') AS w FROM sw LEFT JOIN (SELECT w FROM uni WHERE w <> '<unk>') u ON w0 = u.w),
 sx AS (SELECT *, coalesce(lag(w, 1) OVER o, '<s>') AS b, coalesce(lag(w, 2) OVER o, '<s>') AS a FROM sm WINDOW o AS (PARTITION BY k1, k2 ORDER BY pos)),
 sp AS (SELECT x.k1, x.k2, x.pos, x.w, coalesce(t.c, 0) AS c3, coalesce(d3.c, 0) AS d3, coalesce(g.c, 0) AS c2, CASE WHEN x.b = '<s>' THEN n_documents ELSE coalesce(d2.c, 0) END AS d2, (coalesce(u.c, 0) + 1) / (total_tokens + vocab_size)::DOUBLE AS p1
  FROM sx x CROSS JOIN meta LEFT JOIN uni u ON x.w = u.w LEFT JOIN bi g ON x.b = g.b AND x.w = g.w LEFT JOIN tri t ON x.a = t.a AND x.b = t.b AND x.w = t.w LEFT JOIN uni d2 ON x.b = d2.w LEFT JOIN bi d3 ON x.a = d3.b AND x.b = d3.w),
@@ -292,7 +292,7 @@ def _(s, d):
     return x.select("doc_id", document.band(F.col("mean_p"), F.col("mean_p").isNotNull(), ~F.coalesce(F.col("role") == "reference", F.lit(False))).alias("band"))
 
 
-# Weights of the example detector: fitted once by fit_detector on the surface features of sf0.01.
+# An example detector for the scoring queries: weights chosen by hand, not fitted (m2_m5 and m3 fit theirs).
 DETECTOR = {"mean_word_len": {"mean": 4.7, "scale": 0.8, "coef": 0.31}, "comma_rate": {"mean": 5.5, "scale": 4.4, "coef": -0.22}, "function_word_rate": {"mean": 46.0, "scale": 9.9, "coef": 0.4}, "first_person_rate": {"mean": 8.0, "scale": 5.0, "coef": -0.35}, "root_ttr": {"mean": 3.9, "scale": 0.6, "coef": 0.27}}
 INTERCEPT = -0.1
 
