@@ -6,9 +6,12 @@ patterns of what a kind can look like at all; a dynamic programme over a text's
 chooses boundaries and kinds jointly. The weights maximise the conditional likelihood of labelled lines that
 :func:`labelled_lines` makes by rule (``TRAINING_LINES`` of them, the only sample), with the same lattices.
 
-The words in more than ``COMMON`` of all documents are counted over the whole corpus first; a name's full words are not
-among them. At most (different words of a document, on average) / COMMON words can be that common, which bounds what
-is broadcast.
+Ordinary words are counted over the whole corpus first; a name's full words are not among them. A word is ordinary by
+how it is used, not by how often alone: more than ``COMMON`` of all different texts have it, and hardly any of them (one in
+``HARDLY``) beside another capital word, or more than ``COMMON`` in lower case, after an article or alone at the start of
+a sentence, which are ``ORDINARY`` times as many as those beside another capital word. Copies of a text count once, and
+a full name stays a candidate whatever share of the texts holds it. At most (different words of a document, on
+average) / COMMON words can be ordinary, which bounds what is broadcast.
 
 Patterns read the shadow of :mod:`sentences` (width forms, look-alikes and invisible characters resolved); spans are
 code-point offsets of the text as stored.
@@ -32,7 +35,7 @@ from inkfathom.llm.sentences import shadow
 
 KINDS = ("email", "phone", "id_number", "address", "name")
 PLACEHOLDERS = {k: f"[{k.upper()}]" for k in KINDS}
-COMMON, COMMON_LEAST = 0.004, 6
+COMMON, COMMON_LEAST, ORDINARY, HARDLY = 0.004, 6, 2, 20
 TRAINING_LINES, EPOCHS = 6000, 6
 
 AT, DOT = r"(?:\s?@\s?|\s?[\[({]\s?at\s?[\])}]\s?|\sat\s)", r"(?:\.|\s?[\[({]\s?dot\s?[\])}]\s?|\sdot\s)"
@@ -71,6 +74,9 @@ INTRODUCED = regex.compile(
 )
 # Words that are part of a street, school or place, or stand before a name as a title.
 PLACE_WORDS = frozenset((_EN + "|Library|School|Academy|College|University|Museum|Port|Lake|Mount|Station|Mill|Mills|Harbor|Bridge|Hall|Church|Hospital|Club|River|Villa|Lower|Upper|North|South|East|West|Bahnhof|Schule|Escuela|École|Lycée|Instituto").split("|"))
+NUMBER_WORDS = frozenset("No Nr Num Núm Fig".split())
+# A capital word after one of these is a noun.
+ARTICLES = frozenset("der die das den dem des ein eine einen einem einer eines kein keine keinen mein meine meinen meinem meiner sein seine seinen seiner ihr ihre ihren unser unsere im am zum zur vom beim ins the a".split())
 TITLES = frozenset("mr mrs ms dr prof counselor coach sr sra señor señora herr frau m mme mlle monsieur madame jr sir miss doctor professor".split())
 
 
@@ -150,7 +156,7 @@ def candidates(s: str, common: frozenset[str]) -> list[tuple[int, int, str, list
             continue
         parts = [(p.start(), p.end(), p[0]) for p in PART.finditer(s, m.start(), m.end())]
         full = [len(p[2]) > 2 or p[2][-1:] != "." for p in parts]
-        rare = [not f or (p[2].title() not in common) for f, p in zip(full, parts, strict=True)]
+        rare = [not f or (p[2].title() not in common and p[2].lower() not in TITLES) for f, p in zip(full, parts, strict=True)]
         n = len(parts)
         for i in range(n):
             if not rare[i] or not full[i]:
@@ -160,7 +166,7 @@ def candidates(s: str, common: frozenset[str]) -> list[tuple[int, int, str, list
                     break
                 words = [parts[k] for k in range(i, j + 1)]
                 fulls = [w[2] for w, f in zip(words, full[i : j + 1], strict=True) if f]
-                if not 2 <= len(fulls) <= 3 or any(w in PLACE_WORDS for w in fulls):
+                if not 2 <= len(fulls) <= 3 or any(w.title() in PLACE_WORDS or w in NUMBER_WORDS for w in fulls):
                     continue
                 a, b = words[0][0], words[-1][1]
                 comma = s[a:b].count(",")
@@ -345,26 +351,69 @@ def trained(lines: int = TRAINING_LINES, epochs: int = EPOCHS, seed: int = 11) -
     return w
 
 
+_CAPITAL = re.compile(rf"[{_UPPER}][^\W\d_]+")
+_NEXT_CAPITAL = re.compile(rf",? [{_UPPER}]")
+#: A full name after a comma: the word before it ("Signed, ...") is not the family name.
+_NAME_AFTER = regex.compile(rf", {_WORD} {_WORD}")
+
+
+def word_uses(text: str) -> tuple[set[str], set[str], set[str]]:
+    """Cased words, in lower case, of a text: all; those it uses as ordinary words; those it has beside another capital word."""
+    plain, beside = {w for w in LETTERS.findall(text) if w.islower()}, set()
+    known = set(plain)
+    for m in _CAPITAL.finditer(text):
+        w = m[0].lower()
+        known.add(w)
+        if m[0].isupper():
+            continue
+        before = text[max(0, m.start() - 24) : m.start()]
+        last = (before.rstrip(" ,").rsplit(None, 1) or [""])[-1] if before[-1:] == " " else ""
+        after = _NEXT_CAPITAL.match(text, m.end())
+        if w in ARTICLES or last.lower() in ARTICLES:
+            plain.add(w)
+        elif after and _NAME_AFTER.match(text, m.end()):
+            continue
+        elif after and PART.match(text, after.end() - 1) or len(last) > 1 and last[0].isupper() and last[-1].isalpha():
+            beside.add(w)
+        elif not last or not last[-1].isalnum():
+            plain.add(w)
+    return known, plain, beside
+
+
+def ordinary(n: int, plain: int, beside: int, least: float) -> bool:
+    """Whether a word of ``n`` texts is no part of a name."""
+    return n > least and HARDLY * beside <= n or plain > least and plain >= ORDINARY * beside
+
+
 def common_words(df: DataFrame, column: str = "text", share: float = COMMON) -> frozenset[str]:
-    """Words, in title case, that are in more than ``share`` of all documents (and in more than a few)."""
+    """Ordinary words, in title case: see the module's text."""
 
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c: Counter = Counter()
+        counts: tuple[Counter, ...] = (Counter(), Counter(), Counter())
         n = 0
+
+        def rows() -> list[tuple]:
+            return [(w, k, counts[1][w], counts[2][w]) for w, k in counts[0].items()]
+
+        columns = ["w", "n", "plain", "beside"]
         for part in parts:
             for t in part["text"]:
-                c.update(set(LETTERS.findall(t.lower())))
+                for c, words in zip(counts, word_uses(t), strict=True):
+                    c.update(words)
             n += len(part)
-            if len(c) > 200_000:
-                yield pd.DataFrame(list(c.items()), columns=["w", "n"])
-                c.clear()
-        yield pd.DataFrame([*c.items(), ("", n)], columns=["w", "n"])
-
-    counts = df.where(F.col(column).isNotNull()).select(F.col(column).alias("text")).mapInPandas(count, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n")).persist()
+            if len(counts[0]) > 200_000:
+                yield pd.DataFrame(rows(), columns=columns)
+                for c in counts:
+                    c.clear()
+        yield pd.DataFrame([*rows(), ("", n, 0, 0)], columns=columns)
+
+    texts = df.where(F.col(column).isNotNull()).select(F.col(column).alias("text")).distinct()
+    counts = texts.mapInPandas(count, "w string, n bigint, plain bigint, beside bigint").groupBy("w").agg(*(F.sum(c).alias(c) for c in ("n", "plain", "beside"))).persist()
     try:
         total = counts.where("w = ''").first()
         least = max(COMMON_LEAST, share * (total.n if total else 0))
-        return frozenset(r.w.title() for r in counts.where(F.col("n") > least).collect() if r.w)  # bounded: see the module's text
+        rows = counts.where((F.col("w") != "") & (F.col("n") > least)).collect()  # bounded: see the module's text
+        return frozenset(r.w.title() for r in rows if ordinary(r.n, r.plain, r.beside, least))
     finally:
         counts.unpersist()
 
