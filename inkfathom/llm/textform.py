@@ -86,12 +86,26 @@ def fold_sql(column: str = "text") -> tuple[str, str]:
     pattern = "[" + "".join(many) + "]"
     deep = sql
     for c, to in many.items():
-        if c < "ﭐ":  # the Arabic ligatures, which are many and rare, are left to the second branch
+        if c < "ﭐ":  # the Arabic ligatures, which are many, are written out before, by ligature_sql
             deep = f"replace({deep}, {_quoted(c)}, {_quoted(to)})"
     clean = f"nfc_normalize(CASE WHEN regexp_matches({column}, '{pattern}') THEN {deep} ELSE {sql} END)"
     return clean, f"translate(clean, {_quoted(''.join(looks))}, {_quoted(''.join(looks.values()))})"
 
 
+@functools.cache
+def ligature_sql(column: str = "text") -> str:
+    """SQL expression that writes out the Arabic ligatures of ``column``, which :func:`fold_sql` leaves. They are tested for
+    in two classes, lam-alef and the many others, and replaced only in texts that have one of the class."""
+    many = tables()[1]
+    sql = column
+    for group in ([c for c in many if "ﻵ" <= c <= "ﻼ"], [c for c in many if c >= "ﭐ" and not "ﻵ" <= c <= "ﻼ"]):
+        deep = sql
+        for c in group:
+            deep = f"replace({deep}, {_quoted(c)}, {_quoted(many[c])})"
+        sql = f"(CASE WHEN regexp_matches({column}, '[{''.join(group)}]') THEN {deep} ELSE {sql} END)"
+    return sql
+
+
 def fold_python(text: str) -> str:
     """The folded form of one text, for operators that already hold it in Python; same tables, same steps."""
     if text.isascii():
@@ -109,7 +123,7 @@ def fold_python(text: str) -> str:
 @functools.cache
 def _translations() -> tuple[dict, dict, re.Pattern]:
     one, many, looks = tables()
-    first = str.maketrans(one | {c: to for c, to in many.items() if c < "ﭐ"} | dict.fromkeys(INVISIBLE, "") | {KEPT: JOINER})
+    first = str.maketrans(one | many | dict.fromkeys(INVISIBLE, "") | {KEPT: JOINER})
     touched = {c for c in [*one, *many, *looks, *INVISIBLE, KEPT] if ord(c) > 127}
     return first, str.maketrans(looks), re.compile(f"[{re.escape(''.join(sorted(touched)))}]")
 
@@ -124,11 +138,12 @@ def fold_batches(select: str, schema: T.StructType):
     ``select`` reads the relation ``folded``: the batch's columns, ``stored`` (``text`` without outer white space),
     ``clean`` and ``folded`` (both without outer white space).
     """
-    clean, folded = fold_sql("stored")
+    clean, folded = fold_sql("plain")
     strip = STRIP.replace("'", "''")
     sql = f"""
         WITH s AS (SELECT *, regexp_replace(text, '{strip}', '', 'g') AS stored FROM batch),
-             c AS (SELECT *, regexp_replace({clean}, '{strip}', '', 'g') AS clean FROM s),
+             p AS (SELECT *, {ligature_sql("stored")} AS plain FROM s),
+             c AS (SELECT * EXCLUDE (plain), regexp_replace({clean}, '{strip}', '', 'g') AS clean FROM p),
              folded AS (SELECT *, {folded} AS folded FROM c)
         {select}
     """

@@ -1,6 +1,18 @@
 """Cases that cuts in the operators would lose."""
 
-from inkfathom.llm import personal
+import unicodedata
+
+from inkfathom.llm import personal, textform
+
+
+# --- look folding
+def test_arabic_ligatures_equal_unicodedata(spark):
+    many = textform.tables()[1]
+    texts = [f"x{c}y {c}" for c in many if c >= "ﭐ"] + ["ﺍﻟﺴﻼﻡ", "السلام"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    got = [r.folded for r in sorted(textform.fold_text(df, "id").collect())]
+    assert len(texts) > 400 and got == [unicodedata.normalize("NFKC", t) for t in texts] == [textform.fold_python(t) for t in texts]
+    assert (len(texts) - 2, len(texts) - 1) in {tuple(r) for r in textform.same_look_pairs(df).collect()}
 
 
 # --- personal information
