@@ -16,8 +16,10 @@ Languages without closing marks (Thai) are judged by whether their last letters
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -34,8 +36,9 @@ ENCODINGS = ("chars", "utf8", "utf16", "entity_chars", "entity_utf8", "json_asci
 LIMIT_ROWS, LIMIT_RATIO, LIMIT_OPEN, AROUND = 5, 4.0, 0.6, 10
 #: n_words is evidence from this many words and this factor on; tools differ by less.
 MORE_WORDS, MORE_FACTOR = 4, 1.04
-#: A last line seen at the end of this many texts is a closing line, unless longer paragraphs begin with it more often.
-LINE_TEXTS = 3
+#: A last line of at most LINE characters seen at the end of this many texts that differ before it is a closing line,
+#: unless longer paragraphs begin with it more often.
+LINE_TEXTS, LINE = 3, 80
 
 _MARK = regex.compile(r"(?:\s*(?:\[(?:\.\.\.|…|truncated|cut|more)\]|\((?:\.\.\.|…|truncated)\)|<(?:truncated|more|cut)>)|(?:read|see) more\W*|\bcontinued\W*)\Z", regex.I)
 _DOTS = regex.compile(r"(?:\.\.\.|…)\Z")
@@ -68,7 +71,7 @@ def _features(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             t = fold_python(text).strip()
             words = t.split()
             blocks = _BLANK.split(t)
-            line = blocks[-1] if len(blocks) > 1 and len(blocks[-1]) <= 80 and "\n" not in blocks[-1] else None
+            line = blocks[-1] if len(blocks) > 1 and len(blocks[-1]) <= LINE and "\n" not in blocks[-1] else None
             closing = bool(line and _CLOSING.match(line) and not _UNDONE.search(line) and not (_MARK.search(line) or _DOTS.search(line)))
             mark = bool(_MARK.search(t))
             dots = bool(_DOTS.search(t))
@@ -77,12 +80,13 @@ def _features(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             more = n == n and n is not None and n >= len(words) + MORE_WORDS and n >= MORE_FACTOR * len(words)
             last = words[-1].rstrip(".…") if words else ""
             first = " ".join(regex.split(r"(?<=[.!?。！？؟।])\s+", blocks[-1])[-1].split()[:2]) if dots else None
-            skeleton = regex.sub(r"\d+", "#", line) if line and " " in line and not _END.search(line) else None
-            rows.append((key, source, list(lengths(text)), closing, mark, dots, thai, ended, bool(more), last, first, skeleton, t[-4:] if thai else None, not t))
-        yield pd.DataFrame(rows, columns=["id", "source_id", "lens", "closing", "mark", "dots", "thai", "ended", "more", "last", "first", "skeleton", "tail", "blank"])
+            skeleton = regex.sub(r"\d+", "#", line) if line and " " in line and not (_END.search(line) or mark or dots) else None
+            body = hashlib.blake2b(" ".join(" ".join(blocks[:-1]).split()).encode("utf-8", "surrogatepass"), digest_size=8).hexdigest() if skeleton else None
+            rows.append((key, source, list(lengths(text)), closing, mark, dots, thai, ended, bool(more), last, first, skeleton, body, t[-4:] if thai else None, not t))
+        yield pd.DataFrame(rows, columns=["id", "source_id", "lens", "closing", "mark", "dots", "thai", "ended", "more", "last", "first", "skeleton", "body", "tail", "blank"])
 
 
-_SCHEMA = "id string, source_id string, lens array<int>, closing boolean, mark boolean, dots boolean, thai boolean, ended boolean, more boolean, last string, first string, skeleton string, tail string, blank boolean"
+_SCHEMA = "id string, source_id string, lens array<int>, closing boolean, mark boolean, dots boolean, thai boolean, ended boolean, more boolean, last string, first string, skeleton string, body string, tail string, blank boolean"
 
 
 def _evidence(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -100,8 +104,9 @@ def _evidence(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if "..." in t or "…" in t:
                 c.update(("dotted", m) for m in dotted.findall(t))
             for b in _BLANK.split(t):
-                w = b[:100].split(" ")
-                c.update(("start", regex.sub(r"\d+", "#", " ".join(w[:i]))) for i in range(1, min(len(w), 9)))
+                # All proper starts that are as short as a closing line; what stands after a space is a longer one.
+                head = b[: LINE + 1]
+                c.update(("start", regex.sub(r"\d+", "#", head[: m.start()])) for m in re.finditer(" ", head) if m.start())
             c.update(("tail", m) for m in thai.findall(t))
         yield pd.DataFrame([(k, v, n) for (k, v), n in c.items()], columns=["kind", "value", "n"])
 
@@ -113,7 +118,7 @@ def essay_endings(essays: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = cut_lineage(texts.mapInPandas(_features, _SCHEMA))
     seen = cut_lineage(texts.select("text").mapInPandas(_evidence, "kind string, value string, n bigint").groupBy("kind", "value").agg(F.sum("n").alias("n")))
     of = lambda kind, name, col: seen.where(F.col("kind") == kind).select(F.col("value").alias(col), F.col("n").alias(name))
-    lines = rows.where("skeleton IS NOT NULL").groupBy("skeleton").agg(F.count_distinct("id").alias("line_n"))
+    lines = rows.where("skeleton IS NOT NULL").groupBy("skeleton").agg(F.least(F.count_distinct("id"), F.count_distinct("body")).alias("line_n"))
     lines = lines.join(of("start", "start_n", "skeleton"), "skeleton", "left").where(f"line_n >= {LINE_TEXTS} AND line_n > coalesce(start_n, 0)").select("skeleton", F.lit(True).alias("known_line"))
     r = rows.join(lines, "skeleton", "left")
     # Words and segment ends are looked up only for rows whose ending turns on them.

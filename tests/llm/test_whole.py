@@ -2,7 +2,7 @@
 
 import unicodedata
 
-from inkfathom.llm import personal, textform
+from inkfathom.llm import personal, textform, truncation
 
 
 # --- look folding
@@ -32,3 +32,17 @@ def test_capital_nouns_are_ordinary_words():
     plain = [personal.word_uses(t) for t in texts]
     count = lambda w: [sum(w in u[k] for u in plain) for k in range(3)]
     assert personal.ordinary(*count("brücke"), 6) and personal.ordinary(*count("garten"), 6) and personal.ordinary(*count("die"), 6)
+
+
+# --- truncation
+def test_copies_and_marks_are_no_closing_lines(spark):
+    body = "The lamp was out. We knew it was late. "
+    cut = [body + "We went home.\n\nAfter the concert my brother and I walked along the river"] * 3
+    marked = [body + f"It was day {i}.\n\nRead more" for i in range(4)]
+    closed = [body + f"It rained on day {i}.\n\nWritten at the long table by the river" for i in range(4)]
+    long = "Before the exam my sister and I sat for hours by the river"
+    starts = [body + f"It was noon {i}.\n\n{long}" for i in range(4)] + [body + f"It was night {i}.\n\n{long} and talked." for i in range(5)]
+    texts = cut + marked + closed + starts
+    df = spark.createDataFrame([(f"e{i:02}", "s", t, None) for i, t in enumerate(texts)], "id string, source_id string, text string, n_words int")
+    got = sorted(r.id for r in truncation.truncated_essays(df).collect())
+    assert got == [f"e{i:02}" for i in [*range(7), *range(11, 15)]]
