@@ -116,6 +116,7 @@ def essay_splits(essays: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def verdict_splits(essays: DataFrame, verdicts: DataFrame, targets: DataFrame) -> DataFrame:
-    """(doc_id, sentence_index, split_name) of each sentence verdict of a known essay; repeated scorings count once."""
+    """(doc_id, sentence_index, split_name) of each sentence verdict of a known essay, and one row with a null
+    sentence_index for each essay without verdicts; repeated scorings count once."""
     s = essay_splits(essays, targets).select(F.col("id").alias("doc_id"), "split_name")
-    return verdicts.select("doc_id", "sentence_index").distinct().join(s, "doc_id").select("doc_id", "sentence_index", "split_name")
+    return s.join(verdicts.select("doc_id", "sentence_index").distinct(), "doc_id", "left").select("doc_id", "sentence_index", "split_name")

@@ -2,7 +2,7 @@
 
 import unicodedata
 
-from inkfathom.llm import personal, textform, truncation
+from inkfathom.llm import components, personal, textform, truncation
 
 
 # --- look folding
@@ -46,3 +46,12 @@ def test_copies_and_marks_are_no_closing_lines(spark):
     df = spark.createDataFrame([(f"e{i:02}", "s", t, None) for i, t in enumerate(texts)], "id string, source_id string, text string, n_words int")
     got = sorted(r.id for r in truncation.truncated_essays(df).collect())
     assert got == [f"e{i:02}" for i in [*range(7), *range(11, 15)]]
+
+
+# --- splits
+def test_essays_without_verdicts_get_a_split(spark):
+    essays = spark.createDataFrame([("a", "s", None), ("b", "s", None), ("c", "t", None)], "id string, source_id string, meta string")
+    verdicts = spark.createDataFrame([("a", 0), ("a", 0), ("a", 1), ("gone", 0)], "doc_id string, sentence_index int")
+    targets = spark.createDataFrame([("train", 1.0)], "split_name string, share double")
+    got = sorted(components.verdict_splits(essays, verdicts, targets).collect(), key=str)
+    assert list(map(tuple, got)) == [("a", 0, "train"), ("a", 1, "train"), ("b", None, "train"), ("c", None, "train")]
