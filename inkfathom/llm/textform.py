@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Letters of other scripts that look like a Latin letter.
+# Letters of other scripts that look like a Latin letter (or, in the last line, like a Cyrillic one).
 LOOKALIKES = {
     "А": "A", "В": "B", "Е": "E", "Ѕ": "S", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P",
     "С": "C", "Т": "T", "Х": "X", "У": "Y", "Ү": "Y", "Ԛ": "Q", "Ԝ": "W", "Ѵ": "V", "а": "a", "с": "c", "ԁ": "d", "е": "e",
@@ -36,10 +36,12 @@ LOOKALIKES = {
     "Υ": "Y", "Χ": "X", "α": "a", "ι": "i", "ν": "v", "ο": "o", "ρ": "p", "υ": "u", "ϲ": "c", "ϳ": "j",
     "օ": "o", "ս": "u", "հ": "h", "ո": "n", "ց": "g", "ɑ": "a", "ɡ": "g", "ɩ": "i", "ꓐ": "B", "Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C",
     "Ꭼ": "E", "Ꮋ": "H", "Ꭻ": "J", "Ꮶ": "K", "Ꮮ": "L", "Ꮇ": "M", "Ꮲ": "P", "Ꮪ": "S", "Ꭲ": "T", "Ꮩ": "V", "Ꮃ": "W", "Ꮓ": "Z",
+    "Ӏ": "I", "ӏ": "l", "ı": "i", "Ԍ": "G", "Ӕ": "Æ", "ӕ": "æ", "Ә": "Ə", "ә": "ə", "Ө": "Ɵ", "ө": "ɵ", "Ӡ": "Ʒ", "ӡ": "ʒ", "Օ": "O", "Ս": "U", "Տ": "S", "Լ": "L",
+    "κ": "к", "ĸ": "к", "Γ": "Г", "Π": "П", "Φ": "Ф",
 }
 # Characters that take no place on the line (soft hyphen, zero-width and joining marks, direction marks,
 # invisible operators, variation selectors, byte order mark).
-INVISIBLE = "­͏؜ᅟᅠ឴឵᠋᠌᠍᠎​‌‍‎‏‪‫‬⁠⁡⁢⁣⁤⁦⁧⁨⁩﻿" + "".join(map(chr, range(0xFE00, 0xFE10)))
+INVISIBLE = "\uffa0­͏؜ᅟᅠ឴឵᠋᠌᠍᠎​‌‍‎‏‪‫‬⁠⁡⁢⁣⁤⁦⁧⁨⁩﻿" + "".join(map(chr, range(0xFE00, 0xFE10)))
 #: Two of these keep a joiner between emoji, which changes the picture, while the other joiners go.
 JOINER, KEPT = "‍", ""
 _SAME_LOOK = {"<wide>", "<narrow>", "<initial>", "<medial>", "<final>", "<isolated>", "<noBreak>"}
@@ -57,7 +59,7 @@ def tables() -> tuple[dict[str, str], dict[str, str], dict[str, str]]:
             one[c] = " "
         elif d.startswith("<") and (d.split(" ", 1)[0] in _SAME_LOOK or any(a <= cp <= b for a, b in _RANGES)):
             to = unicodedata.normalize("NFKC", c)
-            if c == "ﷺ" or " " in to:
+            if c == "ﷺ" or " " in to or to in INVISIBLE or c in INVISIBLE:
                 continue
             if to != c:
                 (one if len(to) == 1 else many)[c] = to
@@ -89,7 +91,8 @@ def fold_sql(column: str = "text") -> tuple[str, str]:
         if c < "ﭐ":  # the Arabic ligatures, which are many, are written out before, by ligature_sql
             deep = f"replace({deep}, {_quoted(c)}, {_quoted(to)})"
     clean = f"nfc_normalize(CASE WHEN regexp_matches({column}, '{pattern}') THEN {deep} ELSE {sql} END)"
-    return clean, f"translate(clean, {_quoted(''.join(looks))}, {_quoted(''.join(looks.values()))})"
+    # A look-alike and its accent may compose only once the letter is the Latin one.
+    return clean, f"nfc_normalize(translate(clean, {_quoted(''.join(looks))}, {_quoted(''.join(looks.values()))}))"
 
 
 @functools.cache
@@ -112,12 +115,12 @@ def fold_python(text: str) -> str:
         return text
     one, looks, touched = _translations()
     if not touched.search(text):
-        return text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text).translate(looks)
+        return text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", unicodedata.normalize("NFC", text).translate(looks))
     if JOINER in text:
         import regex
 
         text = regex.sub(r"([\U0001F000-\U0001FAFF☀-➿]️?)‍", r"\1" + KEPT, text)
-    return unicodedata.normalize("NFC", text.translate(one)).translate(looks)
+    return unicodedata.normalize("NFC", unicodedata.normalize("NFC", text.translate(one)).translate(looks))
 
 
 @functools.cache
