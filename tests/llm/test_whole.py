@@ -15,6 +15,16 @@ def test_arabic_ligatures_equal_unicodedata(spark):
     assert (len(texts) - 2, len(texts) - 1) in {tuple(r) for r in textform.same_look_pairs(df).collect()}
 
 
+def test_every_table_entry_in_both_forms(spark):
+    one, many, looks = textform.tables()
+    pairs = [(f"x{c}y", f"x{to}y") for m in (one, many) for c, to in m.items() if not unicodedata.combining(to[0])] + [(f"x{c}y", f"x{to}y") for c, to in looks.items()]
+    pairs += [(f"m{base}\u0302me", "m\u00eame") for base in ("\u0435", "e")]  # Cyrillic letter with an accent of its own
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(t for p in pairs for t in p)], "id int, text string")
+    got = {r.id: r.folded for r in textform.fold_text(df, "id").collect()}
+    assert len(pairs) > 1300
+    assert [p for i, p in enumerate(pairs) if got[2 * i] != got[2 * i + 1] or textform.fold_python(p[0]) != got[2 * i]] == []
+
+
 # --- personal information
 def spans_of(text):
     return {(text[a:b], k) for a, b, k in personal.entities(text, personal.trained())}
@@ -73,6 +83,25 @@ def test_copies_and_marks_are_no_closing_lines(spark):
     assert got == [f"e{i:02}" for i in [*range(7), *range(11, 15)]]
 
 
+def test_repeated_delivery_changes_nothing(spark):
+    body = "The lamp was out. We knew it was late. "
+    texts = [body + "We went home.\n\nAfter the exam my brother and I went to the", body + "It rained.\n\nWritten at the long table by the river", body + "So we sang...", body + "And then the riv...", body + "We left."]
+    texts += [body + f"It rained on day {i}.\n\nWritten at the long table by the river" for i in range(3)] + [body + f"So we sang... Nobody knew about day {i}. We sang a lot." for i in range(3)]
+    once, often = (spark.createDataFrame([(f"e{i:02}-{k}", "s", t, None) for i, t in enumerate(texts) for k in range(n)], "id string, source_id string, text string, n_words int") for n in (1, 40))
+    of = lambda df: {r.id.split("-")[0] for r in truncation.truncated_essays(df).collect()}
+    assert of(once) == of(often) == {"e00", "e03"}
+
+
+def test_a_source_has_its_own_limit(spark):
+    words = "one two six ten red sky low sun dry oak ".split()
+    small = [(f"s{i}", "small", (" ".join(words[(i + k) % 10] for k in range(30)))[:100], None) for i in range(8)]
+    small += [("s9", "small", ("Then we all went home and " + "slept " * 20)[:99] + ".", None)]
+    large = [(f"l{i}", "large", "We sat. " * (i % 25 + 4) + "All was well" + "l" * (i % 7) + ".", None) for i in range(400)]
+    df = spark.createDataFrame(small + large, "id string, source_id string, text string, n_words int")
+    assert {r.id for r in truncation.truncated_essays(df).collect()} == {f"s{i}" for i in (*range(8), 9)}
+    assert ("small", "chars", 100) in {(r.source_id, r.encoding, r.length) for r in truncation.storage_limits(df).collect()}
+
+
 # --- splits
 def test_essays_without_verdicts_get_a_split(spark):
     essays = spark.createDataFrame([("a", "s", None), ("b", "s", None), ("c", "t", None)], "id string, source_id string, meta string")
