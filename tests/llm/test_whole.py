@@ -2,7 +2,11 @@
 
 import unicodedata
 
-from inkfathom.llm import components, personal, textform, truncation
+import random
+
+import numpy as np
+
+from inkfathom.llm import components, leakage, personal, textform, truncation
 
 
 # --- look folding
@@ -102,6 +106,45 @@ def test_a_source_has_its_own_limit(spark):
     assert ("small", "chars", 100) in {(r.source_id, r.encoding, r.length) for r in truncation.storage_limits(df).collect()}
 
 
+# --- leaks
+def test_runs_longer_than_24_words_with_more_changes():
+    item = [f"w{i}" for i in range(70)]
+    index = leakage.ItemIndex.build([(77, " ".join(item))] + [(i, " ".join(f"v{i}x{k}" for k in range(60))) for i in range(20)])
+    for start in range(0, 24):
+        for length, places in ((32, (8, 12, 16, 20)), (40, (8, 14, 18, 22, 26)), (32, (0, 10, 20, 31)), (24, (3, 11, 19))):
+            run = item[start : start + length]
+            text = " ".join(["pre"] * 9 + ["changed" if i in places else w for i, w in enumerate(run)] + ["post"] * 9)
+            assert leakage.leaks_of([text], index) == [(0, index.ids.index(77))], (start, length)
+            text = " ".join(["pre"] * 9 + ["changed" if i in places or i % 5 == 4 else w for i, w in enumerate(run)] + ["post"] * 9)
+            assert leakage.leaks_of([text], index) == []
+
+
+def test_wand_finds_all_blocks_above_the_threshold():
+    r = random.Random(4)
+    items = [(i, " ".join(r.choices([f"w{k}" for k in range(12)], k=40))) for i in range(60)]
+    index = leakage.ItemIndex.build(items)
+    terms = np.array([[r.randrange(len(index.terms) + 1) for _ in range(leakage.TERMS)] for _ in range(300)])
+    least = np.array([r.uniform(1, 12) for _ in range(300)], np.float32)
+    q, k = index.pivots(terms, least)
+    want = set()
+    for i, row in enumerate(terms):
+        total = {}
+        for t in row:
+            for x in range(index.first[t], index.first[t + 1]):
+                total[int(index.block[x])] = total.get(int(index.block[x]), 0.0) + float(index.blockmax[x])
+        want |= {(i, b) for b, x in total.items() if x >= least[i] + 1e-3}
+    got = set(zip(q.tolist(), k.tolist(), strict=True))
+    assert want <= got and len(got) <= len(want) + 5
+
+
+def test_items_in_several_parts(spark, monkeypatch):
+    monkeypatch.setattr(leakage, "MOST_ITEM_BYTES", 300)
+    items = [(i, " ".join(f"a{i}b{k}" for k in range(30))) for i in range(7)]
+    docs = spark.createDataFrame([(i, "so " + t + " it ends") for i, t in items] + [(99, None), (98, "")], "doc_id bigint, text string")
+    got = leakage.leaked_items(docs, spark.createDataFrame(items, "item_id bigint, text string"))
+    assert sorted(map(tuple, got.collect())) == [(i, i) for i in range(7)]
+
+
 # --- splits
 def test_essays_without_verdicts_get_a_split(spark):
     essays = spark.createDataFrame([("a", "s", None), ("b", "s", None), ("c", "t", None)], "id string, source_id string, meta string")
