@@ -1,8 +1,9 @@
 """Splits that keep related records together: hash-to-min components, then weighted rendezvous hashing.
 
 Clusters are kept as rows (node, member), never as collected sets, so a component may hold any share of the data. In
-a round each node sends its cluster to the cluster's minimum, and the minimum to the other members; the rows of a
-node whose member list is long are spread by a salt before the minimum is attached.
+a round each node sends its cluster to the cluster's minimum, and the minimum to the other members. Nodes with a single
+neighbour that is smaller take no part in the rounds; they get its component at the end. Rows of a node with more than
+``HOT`` of them meet the node's minimum by a broadcast of the at most rows / ``HOT`` such nodes, all others by a shuffle.
 """
 
 from __future__ import annotations
@@ -13,29 +14,38 @@ from pyspark.sql import types as T
 
 from inkfathom.session import cut_lineage
 
-SALTS = 16
+#: A node with more rows than this is not brought into one task.
+HOT = 500_000
 
 
-def _attach_minimum(rows: DataFrame) -> DataFrame:
-    """rows (v, u) with m, the minimum of v's cluster; a long cluster does not meet in one task."""
-    salt = F.pmod(F.xxhash64("u"), F.lit(SALTS)).cast("int")
-    part = rows.groupBy("v").agg(F.min("u").alias("m"), F.count("*").alias("n"))
-    lows = part.select("v", F.least("v", "m").alias("m"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    return rows.withColumn("salt", salt).join(lows, ["v", "salt"]).drop("salt")
+def _join_split(rows: DataFrame, table: DataFrame, key: str, hot: int) -> DataFrame:
+    """``rows`` joined with ``table``, which has one row per key: the rows of keys that have more than ``hot`` of them stay
+    where they are and meet a broadcast of the table's rows for these keys, at most rows / hot; the others are shuffled."""
+    many = rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > hot).select(key)
+    few = F.broadcast(many)
+    return rows.join(F.broadcast(table.join(few, key, "left_semi")), key).unionByName(rows.join(few, key, "left_anti").join(table, key))
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 60, hot: int = HOT) -> DataFrame:
     """(node, component): the smallest node of each connected component, for every node of ``edges`` (a, b).
 
     Null ends are left out; an edge from a node to itself makes a component of one node. Ends when a round changes
     nothing; the number of rounds grows with the logarithm of the longest path.
     """
-    e = edges.where("a IS NOT NULL AND b IS NOT NULL")
-    rows = e.select(F.col("a").alias("v"), F.col("b").alias("u")).unionAll(e.select(F.col("b").alias("v"), F.col("a").alias("u")))
-    rows = cut_lineage(rows.unionAll(e.select(F.col("a").alias("v"), F.col("a").alias("u"))).unionAll(e.select(F.col("b").alias("v"), F.col("b").alias("u"))).distinct())
+    e = edges.where("a IS NOT NULL AND b IS NOT NULL").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct()
+    e = cut_lineage(e)
+    pairs = e.where("lo <> hi")
+    ends = pairs.select(F.col("lo").alias("node"), F.lit(None).cast(e.schema["lo"].dataType).alias("only")).unionAll(pairs.select(F.col("hi").alias("node"), F.col("lo").alias("only")))
+    degrees = ends.groupBy("node").agg(F.count("*").alias("n"), F.min("only").alias("only"))
+    # A leaf is larger than its only neighbour, so it is no component's minimum, and its neighbour is no leaf.
+    leaves = cut_lineage(degrees.where("n = 1 AND only IS NOT NULL").select(F.col("node").alias("hi"), F.lit(True).alias("leaf")))
+    marked = cut_lineage(pairs.join(leaves, "hi", "left"))
+    inner = marked.where("leaf IS NULL").select("lo", "hi")
+    rows = inner.select(F.col("lo").alias("v"), F.col("hi").alias("u")).unionAll(inner.select(F.col("hi").alias("v"), F.col("lo").alias("u")))
+    rows = cut_lineage(rows.unionAll(rows.select("v", F.col("v").alias("u")).distinct()))
     before = None
     for _ in range(rounds):
-        low = _attach_minimum(rows)
+        low = _join_split(rows, rows.groupBy("v").agg(F.least("v", F.min("u")).alias("m")), "v", hot)
         # C to its minimum, the minimum to all of C; a node always keeps itself.
         sent = low.select(F.col("m").alias("v"), "u").unionAll(low.select(F.col("u").alias("v"), F.col("m").alias("u")))
         rows = cut_lineage(sent.distinct())
@@ -45,7 +55,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         before = now
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return rows.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("component"))
+    known = rows.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("component"))
+    # Nodes outside the rounds: those that have only leaves or only themselves.
+    alone = e.select(F.col("lo").alias("node")).unionAll(e.where("lo = hi").select(F.col("hi").alias("node"))).distinct()
+    alone = alone.join(known, "node", "left_anti").join(leaves.select(F.col("hi").alias("node")), "node", "left_anti").select("node", F.col("node").alias("component"))
+    centres = cut_lineage(known.unionByName(alone))
+    hung = marked.where("leaf").select(F.col("hi").alias("leaf_node"), F.col("lo").alias("node"))
+    return centres.unionByName(_join_split(hung, centres, "node", hot).select(F.col("leaf_node").alias("node"), "component"))
 
 
 def essay_links(essays: DataFrame) -> DataFrame:
