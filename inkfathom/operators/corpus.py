@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from inkfathom.functions import text as X
+from inkfathom.operators.ranks import row_numbers, running_sums
 from inkfathom.session import checked_broadcast
 
 
@@ -40,16 +41,16 @@ def nearest_rank(c: Column, p: float) -> Column:
 
 
 def rank_element(df: DataFrame, value: str, by: list[str], place: Column, name: str) -> DataFrame:
-    """The element at a 0-based ``place`` (an expression over n) of the sorted non-null values of each group, by window:
-    no group's values are collected into one row."""
-    w = W.partitionBy(*by)
-    d = df.where(F.col(value).isNotNull()).withColumn("_i", F.row_number().over(w.orderBy(value)) - 1).withColumn("n", F.count("*").over(w))
-    return d.where(F.col("_i") == place).select(*by, F.col(value).alias(name))
+    """The element at a 0-based ``place`` (an expression over n) of the sorted non-null values of each group, from running
+    counts of the different values: no group is sorted or collected in one task."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias(name)).agg(F.count("*").alias("_c"))
+    d = running_sums(counts, by, name, ["_c"]).withColumnRenamed("_c_all", "n")
+    return d.where((F.col("_c_upto") > place) & (F.col("_c_upto") - F.col("_c") <= place)).select(*by, name)
 
 
 def even_half(df: DataFrame, key: str, by: list[str]) -> DataFrame:
-    """Half 0 or 1 by a row's place among the sorted keys of its set."""
-    return df.withColumn("half", (F.row_number().over(W.partitionBy(*by).orderBy(key)) - 1) % 2)
+    """Half 0 or 1 by a row's place among the sorted keys of its set; a set may hold any share of the rows."""
+    return row_numbers(df, [F.col(key)], by, "_n").withColumn("half", ((F.col("_n") - 1) % 2).cast("int")).drop("_n")
 
 
 def cap_per_key(df: DataFrame, keys: list[str], order: list[Column], cap: int) -> DataFrame:

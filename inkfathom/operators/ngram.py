@@ -78,21 +78,50 @@ def corpus_features(sentences: DataFrame, keys: list[str], model: dict[str, Data
     return a.select(*keys, F.when(ok, F.col("m")).alias("corpus_surprisal_mean"), F.when(ok, F.col("sd")).alias("corpus_surprisal_sd"), F.when(ok, F.col("novel")).alias("novel_trigram_rate"))
 
 
+def followers(model: dict[str, DataFrame]) -> DataFrame:
+    """O1 and O4 for the stand-in: (b, n_next, mu, sigma2, entropy) of the distribution over the words seen after each word."""
+    total = model["bi"].groupBy("b").agg(F.sum("c").alias("d"), F.count("*").alias("n_next"))
+    x = model["bi"].join(checked_broadcast(total), "b").withColumn("p", F.col("c") / F.col("d")).withColumn("l", F.log("p"))
+    a = x.groupBy("b").agg(F.first("n_next").alias("n_next"), F.sum(F.col("p") * F.col("l")).alias("mu"), F.sum(F.col("p") * F.col("l") * F.col("l")).alias("q"))
+    return a.select("b", "n_next", "mu", F.greatest(F.col("q") - F.col("mu") * F.col("mu"), F.lit(0.0)).alias("sigma2"), (-F.col("mu")).alias("entropy"))
+
+
 def observe(sentences: DataFrame, keys: list[str], model: dict[str, DataFrame], text: str = "text") -> DataFrame:
     """Token rows (keys, tok_idx, token, logprob, rank, entropy, mu, sigma2) of the stand-in observer.
 
-    The rank of a word is its place among the reference's words by count; families that need a whole distribution are
-    NULL, as with an observer that does not send them.
+    The rank of a word is its place in the back-off order: the words seen after the one before it by count, then all others
+    by their count in the reference. entropy, mu and sigma2 are those of the words seen after the one before; NULL after a
+    word that nothing followed, as with an observer that does not send a distribution (O3).
     """
-    ranks = model["uni"].select(F.col("w").alias("rw"), F.rank().over(W.orderBy(F.desc("c"))).alias("rank"))
+    ranks = model["uni"].select(F.col("w").alias("rw"), F.rank().over(W.orderBy(F.desc("c"))).alias("r1"))
+    seen = model["bi"].select(F.col("b").alias("fb"), F.col("w").alias("fw"), F.rank().over(W.partitionBy("b").orderBy(F.desc("c"))).alias("r2"))
     t = token_logprobs(sentences, keys, model, text).join(checked_broadcast(ranks), F.col("w") == F.col("rw"), "left")
-    none = F.lit(None).cast("double")
-    return t.select(*keys, F.col("pos").alias("tok_idx"), F.col("w").alias("token"), "logprob", F.coalesce("rank", F.lit(1 << 20)).alias("rank"), none.alias("entropy"), none.alias("mu"), none.alias("sigma2"))
+    t = t.join(checked_broadcast(followers(model).withColumnRenamed("b", "nb")), F.col("b") == F.col("nb"), "left")
+    t = t.join(checked_broadcast(seen), (F.col("b") == F.col("fb")) & (F.col("w") == F.col("fw")), "left")
+    rank = F.coalesce("r2", F.coalesce("n_next", F.lit(0)) + F.coalesce("r1", F.lit(1 << 20)))
+    return t.select(*keys, F.col("pos").alias("tok_idx"), F.col("w").alias("token"), "logprob", rank.alias("rank"), "entropy", "mu", "sigma2")
+
+
+#: Ids of words fit into 16 bits.
+MOST_WORDS = 65_535
 
 
 def packed_keys(model: dict[str, DataFrame]) -> DataFrame:
-    """Bigrams as one 64-bit key, first word's id in the upper half; ids by order of the words, 0 for the start."""
-    ids = model["uni"].select("w").distinct().select("w", F.row_number().over(W.orderBy("w")).alias("id"))
+    """(key, c): bigrams as one 64-bit key, first word's id in the upper half; ids from 1 by order of the words, 0 for the
+    start. Refuses a vocabulary whose ids do not fit into 16 bits, beyond which keys would collide."""
+    words = model["uni"].select("w").distinct()
+    n = words.count()
+    if n > MOST_WORDS:
+        raise ValueError(f"{n} words do not fit into 16-bit ids")
+    ids = words.select("w", F.row_number().over(W.orderBy("w")).alias("id"))  # at most MOST_WORDS rows
     a, b = ids.select(F.col("w").alias("b"), F.col("id").alias("ib")), ids.select("w", F.col("id").alias("iw"))
     x = model["bi"].join(checked_broadcast(a), "b", "left").join(checked_broadcast(b), "w")
     return x.select((F.shiftleft(F.coalesce("ib", F.lit(0)).cast("bigint"), 16) + F.col("iw")).alias("key"), F.col("c"))
+
+
+def unpacked(packed: DataFrame, model: dict[str, DataFrame]) -> DataFrame:
+    """(b, w, c) back from packed keys, for the round-trip check against the table they were made from."""
+    ids = model["uni"].select("w").distinct().select("w", F.row_number().over(W.orderBy("w")).alias("id"))
+    x = packed.select(F.shiftright("key", 16).cast("int").alias("ib"), F.col("key").bitwiseAND(0xFFFF).cast("int").alias("iw"), "c")
+    x = x.join(checked_broadcast(ids.select(F.col("w").alias("b"), F.col("id").alias("ib"))), "ib", "left").join(checked_broadcast(ids.select("w", F.col("id").alias("iw"))), "iw")
+    return x.select(F.coalesce("b", F.lit(START)).alias("b"), "w", "c")

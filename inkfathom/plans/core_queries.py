@@ -164,7 +164,7 @@ ctx AS (SELECT w, coalesce(lag(w, 1) OVER o, '<s>') AS b, coalesce(lag(w, 2) OVE
 meta AS (SELECT (SELECT count(*) FROM rm) AS total_tokens, (SELECT count(*) + 1 FROM vocab) AS vocab_size, (SELECT count(*) FROM heldout_items) AS n_documents)"""
 LP = f"""{NG}, sw AS (SELECT k1, k2, generate_subscripts(w, 1) AS pos, unnest(w) AS w0 FROM (SELECT doc_id AS k1, sentence_index AS k2, {WORDS} AS w FROM (SELECT DISTINCT doc_id, sentence_index, text FROM sentence_verdicts))), sm AS (SELECT k1, k2, pos, coalesce(u.w, '<unk>') AS w FROM sw LEFT JOIN (SELECT w FROM uni WHERE w <> '<unk>') u ON w0 = u.w),
 sx AS (SELECT *, coalesce(lag(w, 1) OVER o, '<s>') AS b, coalesce(lag(w, 2) OVER o, '<s>') AS a FROM sm WINDOW o AS (PARTITION BY k1, k2 ORDER BY pos)),
-sp AS (SELECT x.k1, x.k2, x.pos, x.w, coalesce(t.c, 0) AS c3, coalesce(d3.c, 0) AS d3, coalesce(g.c, 0) AS c2, CASE WHEN x.b = '<s>' THEN n_documents ELSE coalesce(d2.c, 0) END AS d2, (coalesce(u.c, 0) + 1) / (total_tokens + vocab_size)::DOUBLE AS p1
+sp AS (SELECT x.k1, x.k2, x.pos, x.w, x.b, coalesce(t.c, 0) AS c3, coalesce(d3.c, 0) AS d3, coalesce(g.c, 0) AS c2, CASE WHEN x.b = '<s>' THEN n_documents ELSE coalesce(d2.c, 0) END AS d2, (coalesce(u.c, 0) + 1) / (total_tokens + vocab_size)::DOUBLE AS p1
  FROM sx x CROSS JOIN meta LEFT JOIN uni u ON x.w = u.w LEFT JOIN bi g ON x.b = g.b AND x.w = g.w LEFT JOIN tri t ON x.a = t.a AND x.b = t.b AND x.w = t.w LEFT JOIN uni d2 ON x.b = d2.w LEFT JOIN bi d3 ON x.a = d3.b AND x.b = d3.w),
 lp AS (SELECT *, ln(greatest(0.5 * p3 + 0.3 * p2 + 0.2 * p1, 1e-12)) AS logprob FROM (SELECT *, CASE WHEN d3 > 0 THEN c3 / d3::DOUBLE ELSE p2 END AS p3 FROM (SELECT *, CASE WHEN d2 > 0 THEN c2 / d2::DOUBLE ELSE p1 END AS p2 FROM sp)))"""
 
@@ -189,15 +189,17 @@ def _(s, d):
     return ngram.corpus_features(sentences(s, d), ["k1", "k2"], model(s, d))
 
 
-OB = f"""{LP}, ob AS (SELECT k1, k2, pos, logprob, coalesce(r.rank, 1048576) AS rank FROM lp LEFT JOIN (SELECT w, rank() OVER (ORDER BY c DESC) AS rank FROM uni) r ON lp.w = r.w), op AS (SELECT *, lag(logprob) OVER (PARTITION BY k1, k2 ORDER BY pos) AS prev FROM ob)"""
+OB = f"""{LP}, fw AS (SELECT b, count(*) AS n_next, sum(p * ln(p)) AS mu, sum(p * ln(p) * ln(p)) AS q FROM (SELECT b, w, c / sum(c) OVER (PARTITION BY b)::DOUBLE AS p FROM bi) GROUP BY b),
+ob AS (SELECT k1, k2, pos, logprob, coalesce(s.r2, coalesce(n_next, 0) + coalesce(r.rank, 1048576)) AS rank, mu, greatest(q - mu * mu, 0) AS sigma2, -mu AS entropy FROM lp LEFT JOIN (SELECT w, rank() OVER (ORDER BY c DESC) AS rank FROM uni) r ON lp.w = r.w LEFT JOIN fw ON lp.b = fw.b LEFT JOIN (SELECT b, w, rank() OVER (PARTITION BY b ORDER BY c DESC) AS r2 FROM bi) s ON lp.b = s.b AND lp.w = s.w),
+op AS (SELECT *, lag(logprob) OVER (PARTITION BY k1, k2 ORDER BY pos) AS prev FROM ob)"""
 _G = "CASE WHEN n >= 5 THEN {0} END AS {0}"
 
 
 @query("f1_f14_o7_observer_features", f"""WITH {OB}
 --
-SELECT k1, k2, {', '.join(_G.format(c) for c in 'mean_logprob logprob_sd logprob_iqr frac_rank_top1 frac_rank_top10 frac_rank_top100 frac_rank_tail mean_log_rank log_rank_sd'.split())}, NULL::DOUBLE AS mean_entropy, NULL::DOUBLE AS entropy_sd, CASE WHEN n >= 5 AND mean_log_rank > 0 THEN -mean_logprob / mean_log_rank END AS lrr, NULL::DOUBLE AS curvature, CASE WHEN n >= 5 AND n > 3 AND sp > 1e-12 THEN cv / sp END AS surprisal_autocorr
+SELECT k1, k2, {', '.join(_G.format(c) for c in 'mean_logprob logprob_sd logprob_iqr frac_rank_top1 frac_rank_top10 frac_rank_top100 frac_rank_tail mean_log_rank log_rank_sd'.split())}, CASE WHEN n >= 5 THEN mean_entropy END AS mean_entropy, CASE WHEN n >= 5 THEN entropy_sd END AS entropy_sd, CASE WHEN n >= 5 AND mean_log_rank > 0 THEN -mean_logprob / mean_log_rank END AS lrr, CASE WHEN n >= 5 THEN (mean_logprob - mean_mu) / sqrt(greatest(mean_s2, 1e-9)) END AS curvature, CASE WHEN n >= 5 AND n > 3 AND sp > 1e-12 THEN cv / sp END AS surprisal_autocorr
 FROM (SELECT k1, k2, count(*) AS n, avg(logprob) AS mean_logprob, stddev_samp(logprob) AS logprob_sd, quantile_cont(logprob, 0.75) - quantile_cont(logprob, 0.25) AS logprob_iqr, avg((rank <= 1)::INT) AS frac_rank_top1, avg((rank <= 10)::INT) AS frac_rank_top10, avg((rank <= 100)::INT) AS frac_rank_top100,
- avg((rank > 1000)::INT) AS frac_rank_tail, avg(ln(greatest(rank, 1))) AS mean_log_rank, stddev_samp(ln(greatest(rank, 1))) AS log_rank_sd, covar_samp(logprob, prev) AS cv, stddev_samp(CASE WHEN prev IS NOT NULL THEN logprob END) * stddev_samp(prev) AS sp FROM op GROUP BY k1, k2)""", " ".join(features.OBSERVER))
+ avg((rank > 1000)::INT) AS frac_rank_tail, avg(ln(greatest(rank, 1))) AS mean_log_rank, stddev_samp(ln(greatest(rank, 1))) AS log_rank_sd, avg(entropy) AS mean_entropy, stddev_samp(entropy) AS entropy_sd, avg(mu) AS mean_mu, avg(sigma2) AS mean_s2, covar_samp(logprob, prev) AS cv, stddev_samp(CASE WHEN prev IS NOT NULL THEN logprob END) * stddev_samp(prev) AS sp FROM op GROUP BY k1, k2)""", " ".join(features.OBSERVER))
 def _(s, d):
     return features.observer_features(ngram.observe(sentences(s, d), ["k1", "k2"], model(s, d)), ["k1", "k2"])
 

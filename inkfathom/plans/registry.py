@@ -5,24 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from inkfathom.operators import document
-from inkfathom.plans import audit_queries, core_queries
+from inkfathom.plans import audit_queries, core_queries, text_queries
 
+flagship = text_queries.flagship
+_ALL = (audit_queries, core_queries, text_queries)  # each registers its queries on import
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentences to surface features, explained scores, document verdicts and bands."""
-    scored = core_queries.scored_surface(spark, sf_dir)
-    words = F.greatest(F.coalesce("n_words", F.lit(0.0)), F.lit(1.0))
-    docs = scored.groupBy("doc_id").agg((F.sum(F.col("probability") * words) / F.sum(words)).alias("mean_p"), F.max("probability").alias("max_p"), F.count("n_words").alias("measured"))
-    return docs.select("doc_id", F.round("mean_p", 6).alias("mean_p"), F.round("max_p", 6).alias("max_p"), document.band(F.col("mean_p"), F.col("measured") > 0, F.lit(True)).alias("band"))
-
-
 def queries() -> dict[str, Query]:
-    return {"flagship": flagship, **audit_queries.QUERIES}
+    return dict(core_queries.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:

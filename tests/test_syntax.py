@@ -10,7 +10,7 @@ SCHEMA = "doc_id string, sentence_index int, i int, head int, pos string, is_sto
 
 
 def parse(spark):
-    rows = [("d", 0, 0, 1, "DET", True, False), ("d", 0, 1, 2, "NOUN", False, False), ("d", 0, 2, 2, "VERB", False, False), ("d", 0, 3, 2, "PUNCT", False, True)]
+    rows = [("d", 0, 0, 1, "DET", True, False), ("d", 0, 1, 2, "NOUN", False, False), ("d", 0, 2, 2, "VERB", False, False), ("d", 0, 3, 2, "PUNCT", False, True), ("d", 0, 4, 2, "ADV", False, False)]
     rows += [("d", 1, 0, 1, "X", False, False), ("d", 1, 1, 0, "X", False, False)]  # a cycle
     rows += [("d", 2, i, min(i + 1, 39), "N", False, False) for i in range(40)]  # a chain
     return spark.createDataFrame(rows, SCHEMA)
@@ -18,14 +18,22 @@ def parse(spark):
 
 def test_depths(spark):
     got = {(r.sentence_index, r.i): r.depth for r in syntax.token_depths(parse(spark)).collect()}
-    assert [got[0, i] for i in range(4)] == [2, 1, 0, 1] and got[1, 0] is None and got[2, 0] == 39 and got[2, 39] == 0
+    assert [got[0, i] for i in range(5)] == [2, 1, 0, 1, 1] and got[1, 0] is None and got[2, 0] == 39 and got[2, 39] == 0
 
 
 def test_structure(spark):
     r = {x.sentence_index: x for x in syntax.structure(parse(spark)).collect()}
-    assert (r[0].tree_depth_max, r[0].tree_depth_mean, r[0].branching_factor) == (2, 1.0, 1.0)
-    assert r[0].content_function_ratio == 2.0 and r[0].pos_trigram_entropy == 0.0 and r[0].stopword_ratio == pytest.approx(1 / 3)
-    assert r[1].tree_depth_max is None and r[1].content_function_ratio is None and r[2].tree_depth_max == 39
+    # Depths 2, 1, 0, 1: the deviation is that of a sample; the root has three children, punctuation among them.
+    assert (r[0].tree_depth_max, r[0].tree_depth_mean, r[0].branching_factor) == (2, 1.0, 2.0) and r[0].tree_depth_sd == pytest.approx(math.sqrt(2 / 3))
+    assert r[0].content_function_ratio == 3.0 and r[0].pos_trigram_entropy == 1.0 and r[0].stopword_ratio == pytest.approx(1 / 4)
+    assert 1 not in r and r[2].tree_depth_max == 39  # a cycle, and too short
+
+
+def test_context_of_structure(spark):
+    rows = [("d", i, float(d), 1.0 + i % 2) for i, d in enumerate([3, 4, 3, 4, 3, 20])] + [("e", i, 2.0, 1.0) for i in range(4)]
+    got = {(r.doc_id, r.sentence_index): r for r in syntax.context(spark.createDataFrame(rows, "doc_id string, sentence_index int, tree_depth_max double, pos_trigram_surprisal double")).collect()}
+    assert got["d", 5].tree_depth_z_in_doc == 6.0 and abs(got["d", 0].tree_depth_z_in_doc) < 2 and got["d", 2].local_depth_burstiness > 0
+    assert all(got["e", i].tree_depth_z_in_doc is None and got["e", i].local_depth_burstiness is None for i in range(4))
 
 
 def test_tag_surprisal(spark):
