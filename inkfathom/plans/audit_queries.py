@@ -13,13 +13,6 @@ from inkfathom.session import table
 
 
 
-@query("flt_p2_j12_sentence_labels", f"WITH {SV}, {ES}\n--\nSELECT doc_id, sentence_index, CASE authorship WHEN 'human' THEN 0 WHEN 'machine' THEN 1 WHEN 'hybrid' THEN ((char_start + char_end) // 2 >= 100 AND (char_start + char_end) // 2 < 400)::INT END AS label FROM sv JOIN es ON sv.doc_id = es.id")
-def _(s, d):
-    e = es(s, d).select(F.col("id").alias("doc_id"), "authorship", F.array(F.struct(F.lit(100).alias("s"), F.lit(400).alias("e"))).alias("spans"))
-    middle = F.expr("(char_start + char_end) div 2")
-    return sv(s, d).join(e, "doc_id").withColumn("middle", middle).select("doc_id", "sentence_index", corpus.label(F.col("authorship"), F.col("middle"), F.col("spans")).alias("label"))
-
-
 @query("flt_p3_p4_group_key", f"WITH {ES}\n--\nSELECT id, coalesce(nullif(meta->>'base_doc_id', ''), id) AS grp FROM es")
 def _(s, d):
     return es(s, d).select("id", F.coalesce(F.nullif(F.get_json_object("meta", "$.base_doc_id"), F.lit("")), F.col("id")).alias("grp"))
@@ -143,37 +136,6 @@ def _(s, d):
     return corpus.cap_per_key(sv(s, d).select("doc_id", "sentence_index", "probability"), ["doc_id"], [F.col("sentence_index")], 5).groupBy("doc_id").agg(F.avg("probability").alias("mean_of_first"))
 
 
-@query("a10_a37_before_after", f"WITH {DS}\n--\nSELECT source, avg(mean_p) FILTER (label = 0) AS before, avg(mean_p) FILTER (label = 1) AS after, coalesce(avg(mean_p) FILTER (label = 1) > avg(mean_p) FILTER (label = 0), false) AS rises FROM ds GROUP BY source", "before after")
-def _(s, d):
-    of = lambda y: F.avg(F.when(F.col("label") == y, F.col("mean_p")))
-    return docs_scored(s, d).groupBy("source").agg(of(0).alias("before"), of(1).alias("after")).withColumn("rises", F.coalesce(F.col("after") > F.col("before"), F.lit(False)))
-
-
-@query("a23_recall_at_matched_harm", f"WITH {DS}, t AS (SELECT quantile_cont(mean_p, 0.95) AS threshold FROM ds WHERE role = 'esl-eval' AND label = 0)\n--\nSELECT role, any_value(threshold) AS threshold, avg((mean_p >= threshold)::INT) AS recall FROM ds, t WHERE label = 1 GROUP BY role", "threshold recall")
-def _(s, d):
-    x = docs_scored(s, d)
-    t = x.where("role = 'esl-eval' AND label = 0").agg(F.percentile("mean_p", F.lit(0.95)).alias("threshold"))
-    return x.where("label = 1").crossJoin(F.broadcast(t)).groupBy("role").agg(F.first("threshold").alias("threshold"), F.avg((F.col("mean_p") >= F.col("threshold")).cast("double")).alias("recall"))  # t has one row
-
-
-@query("a25_rank_correlation", f"WITH {DS}, r AS (SELECT row_number() OVER (ORDER BY mean_p, doc_id) AS a, row_number() OVER (ORDER BY share, doc_id) AS b FROM ds)\n--\nSELECT corr(a, b) AS rho FROM r", "rho")
-def _(s, d):
-    x = docs_scored(s, d)
-    return x.select(F.row_number().over(W.orderBy("mean_p", "doc_id")).alias("a"), F.row_number().over(W.orderBy("share", "doc_id")).alias("b")).agg(metrics.correlation("a", "b").alias("rho"))
-
-
-@query("a35_gate_selectivity", f"WITH {DS}, g AS (SELECT *, coalesce(role = 'reference', false) AS refused, mean_p >= 0.8948 AS flagged FROM ds WHERE label IS NOT NULL)\n--\nSELECT sum((refused AND label = 0)::INT)::BIGINT AS human_refused, sum((refused AND label = 0 AND flagged)::INT)::BIGINT AS saved, sum((refused AND label = 0)::INT) / nullif(sum((refused AND label = 0 AND flagged)::INT), 0)::DOUBLE AS refusals_per_save FROM g", "refusals_per_save")
-def _(s, d):
-    refused, flagged, human = F.coalesce(F.col("role") == "reference", F.lit(False)), F.col("mean_p") >= 0.8948, F.col("label") == 0
-    g = docs_scored(s, d).where("label IS NOT NULL").agg(F.sum((refused & human).cast("bigint")).alias("human_refused"), F.sum((refused & human & flagged).cast("bigint")).alias("saved"))
-    return g.withColumn("refusals_per_save", F.try_divide(F.col("human_refused").cast("double"), F.col("saved")))
-
-
-@query("a36_ensemble_maximum", f"WITH {DS}, c AS (SELECT greatest(mean_p, share) AS s, sum(label) AS pos, sum(1 - label) AS neg FROM ds WHERE label IS NOT NULL GROUP BY 1), b AS (SELECT *, sum(neg) OVER (ORDER BY s) - neg AS below FROM c)\n--\nSELECT sum(pos * (below + neg / 2.0::DOUBLE)) / (sum(pos)::DOUBLE * sum(neg)) AS auroc, sum(pos)::BIGINT AS positives, sum(neg)::BIGINT AS negatives FROM b", "auroc")
-def _(s, d):
-    return metrics.auroc(docs_scored(s, d).withColumn("m", F.greatest("mean_p", "share")), "m", "label", [])
-
-
 @query("a41_length_deciles", f"WITH {ES}, x AS (SELECT authorship, n_words, row_number() OVER (PARTITION BY authorship ORDER BY n_words) - 1 AS i, count(*) OVER (PARTITION BY authorship) AS n FROM es WHERE n_words IS NOT NULL AND authorship IN ('human', 'machine')), k AS (SELECT unnest(range(1, 10)) AS k), dd AS (SELECT k, max(n_words) FILTER (authorship = 'human' AND i = floor(k * (n - 1) / 10)) AS human, max(n_words) FILTER (authorship = 'machine' AND i = floor(k * (n - 1) / 10)) AS machine FROM x, k GROUP BY k)\n--\nSELECT k, human, machine, abs(human - machine) AS gap FROM dd")
 def _(s, d):
     w = W.partitionBy("authorship")
@@ -203,7 +165,6 @@ def _(s, d):
     return features.head_statistics(c, ["event_id"])
 
 
-QUERIES["m3_grouped_out_of_fold"] = lambda s, d: r6(document.out_of_fold(docs_scored(s, d).where("label IS NOT NULL"), ["mean_p", "max_p", "q90_p", "share"], "source").select("doc_id", "fold", "probability"))
 
 
 @query("f37_fluency_gap", f"WITH {LP}, f AS (SELECT k1, k2, avg(-logprob) AS m, avg(logprob) AS l, count(*) AS n FROM lp GROUP BY k1, k2)\n--\nSELECT k1, k2, CASE WHEN n >= 5 THEN m + l END AS fluency_typicality_gap FROM f", "fluency_typicality_gap")
@@ -214,13 +175,4 @@ def _(s, d):
     return ngram.corpus_features(rows, keys, m).join(features.observer_features(ngram.observe(rows, keys, m), keys), keys).select(*keys, (F.col("corpus_surprisal_mean") + F.col("mean_logprob")).alias("fluency_typicality_gap"))
 
 
-@query("a30_disagreement_counts", f"WITH {DS}\n--\nSELECT sum(((mean_p >= 0.5) = (label = 1) AND (max_p >= 0.5) <> (label = 1))::INT)::BIGINT AS only_first, sum(((mean_p >= 0.5) <> (label = 1) AND (max_p >= 0.5) = (label = 1))::INT)::BIGINT AS only_second FROM ds WHERE label IS NOT NULL")
-def _(s, d):
-    x = docs_scored(s, d).where("label IS NOT NULL")
-    right = lambda c: (F.col(c) >= 0.5) == (F.col("label") == 1)
-    return x.agg(F.sum((right("mean_p") & ~right("max_p")).cast("bigint")).alias("only_first"), F.sum((~right("mean_p") & right("max_p")).cast("bigint")).alias("only_second"))
-
-
-QUERIES["a19_document_cut"] = lambda s, d: r6(metrics.budget_cut(docs_scored(s, d).where("label = 0"), "mean_p", 0.05))
-QUERIES["a20_gate_threshold"] = lambda s, d: r6(metrics.budget_cut(docs_scored(s, d).where("label = 0"), "share", 0.02, "below"))
 QUERIES["a27_a28_resampled_auroc"] = lambda s, d: r6(metrics.auroc_resampled(sc(s, d), "probability", "label"))

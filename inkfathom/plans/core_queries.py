@@ -382,16 +382,6 @@ def _(s, d):
     return g.withColumn("rate", F.col("k") / F.col("n")).withColumn("low", metrics.wilson(F.col("k"), F.col("n"))[0])
 
 
-@query("a9_seam", f"WITH {SC}\n--\nSELECT doc_id, min(CASE WHEN probability >= 0.5 THEN sentence_index END) AS predicted, max(sentence_index) AS last FROM sc WHERE authorship = 'hybrid' GROUP BY doc_id")
-def _(s, d):
-    return sc(s, d).where("authorship = 'hybrid'").groupBy("doc_id").agg(F.min(F.when(F.col("probability") >= 0.5, F.col("sentence_index"))).alias("predicted"), F.max("sentence_index").alias("last"))
-
-
-@query("a17_a18_bands")
-def _(s, d):
-    return metrics.fit_bands(docs_scored(s, d), "mean_p", "label")
-
-
 @query("a22_a24_accusation_rates", f"WITH {DS}\n--\nSELECT role, count(*) AS n, avg((mean_p >= 0.8948)::INT) AS accused, avg((share > 0)::INT) AS highlighted, CASE WHEN stddev_samp(mean_p) * stddev_samp(share) > 1e-12 THEN covar_samp(mean_p, share) / (stddev_samp(mean_p) * stddev_samp(share)) END AS r, CASE WHEN var_samp(mean_p) > 1e-12 THEN covar_samp(mean_p, share) / var_samp(mean_p) END AS slope FROM ds GROUP BY role", "accused highlighted r slope")
 def _(s, d):
     x = docs_scored(s, d)
@@ -405,36 +395,17 @@ def _(s, d):
     return x.count().na.fill(0)
 
 
-@query("a32_k2_confident_failures", f"WITH {DS}\n--\nSELECT doc_id, abs(mean_p - label) * abs(2 * mean_p - 1) AS severity FROM ds WHERE label IS NOT NULL AND (mean_p >= 0.5) <> (label = 1) ORDER BY abs(mean_p - label) * abs(2 * mean_p - 1) DESC, doc_id LIMIT 50", "severity")
-def _(s, d):
-    x = docs_scored(s, d).where("label IS NOT NULL").where((F.col("mean_p") >= 0.5) != (F.col("label") == 1))
-    return x.select("doc_id", (F.abs(F.col("mean_p") - F.col("label")) * F.abs(2 * F.col("mean_p") - 1)).alias("severity")).orderBy(F.desc("severity"), "doc_id").limit(50)
-
-
 @query("a33_w13_worst_per_role", f"WITH {DS}, r AS (SELECT role, doc_id, max_p, row_number() OVER (PARTITION BY role ORDER BY max_p DESC, doc_id) AS place FROM ds WHERE label = 0)\n--\nSELECT * FROM r WHERE place <= 5", "max_p")
 def _(s, d):
     x = docs_scored(s, d).where("label = 0").select("role", "doc_id", "max_p")
     return x.withColumn("place", F.row_number().over(W.partitionBy("role").orderBy(F.desc("max_p"), "doc_id"))).where("place <= 5")
 
 
-@query("a39_observer_consistency", f"WITH {SV}\n--\nSELECT model, median(probability) AS middle, stddev_pop(probability) AS spread, count(DISTINCT doc_id) AS documents FROM sv WHERE probability IS NOT NULL GROUP BY model", "middle spread")
-def _(s, d):
-    return sv(s, d).where("probability IS NOT NULL").groupBy("model").agg(F.percentile("probability", F.lit(0.5)).alias("middle"), F.stddev_pop("probability").alias("spread"), F.count_distinct("doc_id").alias("documents"))
-
-
 @query("a40_length_leak", f"WITH {SC}, c AS (SELECT n_words AS s, sum(label)::BIGINT AS pos, sum(1 - label)::BIGINT AS neg FROM sc WHERE n_words IS NOT NULL AND label IS NOT NULL GROUP BY ALL), b AS (SELECT *, sum(neg) OVER (ORDER BY s) - neg AS below FROM c)\n--\nSELECT sum(pos * (below + neg / 2.0::DOUBLE)) / nullif(sum(pos)::DOUBLE * sum(neg), 0) AS auroc, sum(pos)::BIGINT AS positives, sum(neg)::BIGINT AS negatives FROM b", "auroc")
 def _(s, d):
     return metrics.auroc(sc(s, d), "n_words", "label", [])
 
 
-@query("a43_w15_document_maximum", f"WITH {SV}, f AS (SELECT *, lag(probability >= 0.65) OVER (PARTITION BY doc_id ORDER BY sentence_index) AS before FROM sv), m AS (SELECT doc_id, max(probability) AS top, sum((probability >= 0.65 AND before)::INT) AS adjacent FROM f GROUP BY doc_id)\n--\nSELECT quantile_cont(top, 0.95) AS threshold, sum(adjacent)::BIGINT AS adjacent FROM m", "threshold")
-def _(s, d):
-    w = W.partitionBy("doc_id").orderBy("sentence_index")
-    f = sv(s, d).withColumn("before", F.lag(F.col("probability") >= 0.65).over(w))
-    m = f.groupBy("doc_id").agg(F.max("probability").alias("top"), F.sum(((F.col("probability") >= 0.65) & F.col("before")).cast("bigint")).alias("adjacent"))
-    return m.agg(F.percentile("top", F.lit(0.95)).alias("threshold"), F.sum("adjacent").alias("adjacent"))
-
-
 @query("a45_repeatability", "SELECT doc_id, sentence_index, max(p) - min(p) AS spread, count(*) AS runs FROM (SELECT *, nullif(probability, 'NaN'::DOUBLE) AS p FROM sentence_verdicts) WHERE p IS NOT NULL GROUP BY ALL HAVING count(*) > 1", "spread")
 def _(s, d):
     v = table(s, d, "sentence_verdicts").withColumn("p", F.nullif("probability", F.lit(float("nan")))).where("p IS NOT NULL")
