@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -99,3 +101,92 @@ def merged_scores(left: DataFrame, right: DataFrame, keys: list[str], a: str, b:
 def attach(df: DataFrame, dimension: DataFrame, on: list[str], how: str = "left") -> DataFrame:
     """A dimension joined by key, broadcast where its estimated size allows."""
     return df.join(checked_broadcast(dimension), on, how)
+
+
+def usable(df: DataFrame, text: str, target: str, preamble: str, markdown: str, trailer: str) -> DataFrame:
+    """P5: ``df`` with the first reason why a text is no usable essay, NULL if there is none. ``target`` is the number of words
+    asked for."""
+    t = F.col(text)
+    count = lambda c: F.size(F.filter(F.split(c, r"\s+"), lambda w: w != ""))
+    words, first = count(t), F.regexp_replace(F.split(t, "\n")[0], r"^[ \t\r]+|[ \t\r]+$", "")
+    last = lambda c: F.substring(c, -1, 1)
+    title = (count(first) <= 9) & ~last(first).isin(".", "!", "?", '"', "'", ",") & (F.size(F.split(t, "\n")) > 1)
+    reason = (
+        F.when(t == "", "empty").when(t.rlike(preamble), "preamble").when(t.rlike(markdown), "markdown").when(t.rlike(trailer), "trailing note").when(words < 400, "too short")
+        .when(F.abs((words - F.col(target)) / F.col(target)) > 0.25, "drift").when(~last(F.regexp_replace(t, r"\s+$", "")).isin(".", "!", "?", '"', "'"), "ends mid-sentence").when(title, "title")
+    )
+    return df.withColumn("reason", reason)
+
+
+def cleaned_prompt(t: Column) -> Column:
+    """P10: without a label in front; a verb is put first if none of the five is there."""
+    bare = F.trim(F.regexp_replace(t, r"(?i)^(prompt|topic|question|essay)\s*:\s*", ""))
+    return F.when(bare.rlike(r"(?i)^(write|describe|explain|discuss|tell)\b"), bare).otherwise(F.concat(F.lit("Write about "), bare))
+
+
+def masked(t: Column, kept: Iterable[str]) -> Column:
+    """Each word that is none of ``kept`` becomes #; what stands between words stays as it is."""
+    parts = F.split(F.regexp_replace(t, r"(\p{L}+)", "\u0001$1\u0001"), "\u0001")
+    words = list(kept)
+    return F.array_join(F.transform(parts, lambda x: F.when(x.rlike(r"^\p{L}+$") & ~F.lower(x).isin(*words), "#").otherwise(x)), "")
+
+
+def add_new_columns(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``df`` with new columns; refuses to put them over columns that it has already."""
+    known = sorted(set(columns) & set(df.columns))
+    if known:
+        raise ValueError(f"already there: {', '.join(known)}")
+    return df.withColumns(columns)
+
+
+def limitations(df: DataFrame, served: DataFrame, on: str) -> DataFrame:
+    """(source_id, note, tag): the served build's note for a row's set, with its licence where there is one, or else a
+    fallback."""
+    x = df.join(checked_broadcast(served), on, "left")
+    note = F.coalesce(F.concat("note", F.lit(" ("), "licence", F.lit(")")), F.col("note"), F.concat(F.lit("no figures for "), F.coalesce(F.col(on), F.lit("this set"))))
+    return x.select("source_id", note.alias("note"), F.when(F.col("note").isNull(), "fallback").otherwise("served").alias("tag"))
+
+
+def validated_merge(left: DataFrame, right: DataFrame, tolerance: float = 1e-4) -> DataFrame:
+    """(doc_id, outcome) of merging rows (doc_id, i, a, b, expected) and (doc_id, i, a, b, ratio): a document is refused if
+    the index sets differ, else if any span does, else if any ratio is off by more than the tolerance (relative or absolute)."""
+    x = left.alias("l").join(right.alias("r"), F.expr("l.doc_id = r.doc_id AND l.i = r.i"), "full")
+    alone = F.col("l.doc_id").isNull() | F.col("r.doc_id").isNull()
+    span = (F.col("l.a") != F.col("r.a")) | (F.col("l.b") != F.col("r.b"))
+    off = F.abs(F.col("r.ratio") - F.col("l.expected")) > tolerance * F.greatest(F.lit(1.0), F.abs(F.col("l.expected")))
+    any_ = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
+    return x.groupBy(F.coalesce("l.doc_id", "r.doc_id").alias("doc_id")).agg(F.when(any_(alone), "index set").when(any_(span), "span").when(any_(off), "ratio").otherwise("merged").alias("outcome"))
+
+
+def keep_old(new: DataFrame, old: DataFrame, key: str, note: str) -> DataFrame:
+    """(key, note, kept): a note that somebody wrote survives the regeneration; empty ones do not."""
+    x = new.join(old.select(key, F.nullif(F.col(note), F.lit("")).alias("_old")), key, "left")
+    return x.select(key, F.coalesce("_old", note).alias(note), F.col("_old").isNotNull().alias("kept"))
+
+
+def manifest(df: DataFrame, registry: DataFrame) -> DataFrame:
+    """(source_id, kind, value): each different hash of a listed source, its upper median of words, and a row ``dead`` for
+    a source that gave nothing. Hashes are rows, so no source is collected into one."""
+    d = df.where("source_id IS NOT NULL").join(checked_broadcast(registry), "source_id", "left_semi")
+    hashes = d.where("sha256 IS NOT NULL").select("source_id", F.lit("hash").alias("kind"), F.lower("sha256").alias("value")).distinct()
+    middle = rank_element(d, "n_words", ["source_id"], F.floor(F.col("n") / 2), "middle").select("source_id", F.lit("middle").alias("kind"), F.col("middle").cast("string").alias("value"))
+    dead = registry.join(df.select("source_id"), "source_id", "left_anti").select("source_id", F.lit("dead").alias("kind"), F.lit(None).cast("string").alias("value"))
+    return hashes.unionByName(middle).unionByName(dead)
+
+
+def bundles(verdicts: DataFrame, essays: DataFrame, closed: DataFrame) -> DataFrame:
+    """(doc_id, spans, digest, missing_text) of essays whose source's licence allows it; the digest is over the spans in
+    order. A document's spans are its sentences."""
+    ok = essays.join(checked_broadcast(closed), "source_id", "left_anti").select(F.col("id").alias("doc_id"), F.col("text").isNull().alias("missing_text"))
+    spans = verdicts.groupBy("doc_id").agg(F.count("*").alias("spans"), F.array_sort(F.collect_list(F.struct("sentence_index", "char_start", "char_end"))).alias("l"))
+    text = F.array_join(F.transform("l", lambda x: F.concat(x["sentence_index"].cast("string"), F.lit(":"), x["char_start"].cast("string"), F.lit("-"), x["char_end"].cast("string"))), ";")
+    return spans.join(ok, "doc_id").select("doc_id", "spans", F.md5(text).alias("digest"), "missing_text")
+
+
+def quotes(sentences: DataFrame, essays: DataFrame, most: int = 320, least: int = 200, share: float = 0.35) -> DataFrame:
+    """(doc_id, sentence_index, quote, text): text is withheld (NULL); a quote of at most ``most`` characters is given as long
+    as a document's quotes together stay within a share of it."""
+    x = sentences.select("doc_id", "sentence_index", F.substring("text", 1, most).alias("q")).join(essays, "doc_id")
+    w = W.partitionBy("doc_id").orderBy("sentence_index")
+    fits = F.sum(F.length("q")).over(w) <= F.greatest(F.lit(least), F.floor(share * F.length("whole")))
+    return x.select("doc_id", "sentence_index", F.when(fits, F.col("q")).alias("quote"), F.lit(None).cast("string").alias("text"))

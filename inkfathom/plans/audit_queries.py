@@ -18,15 +18,6 @@ def _(s, d):
     return es(s, d).select("id", F.coalesce(F.nullif(F.get_json_object("meta", "$.base_doc_id"), F.lit("")), F.col("id")).alias("grp"))
 
 
-@query("flt_p5_usable_essay", f"WITH {ES}, t AS (SELECT id, n_words, regexp_replace(text, '^[\\s\\x0b]+|[\\s\\x0b]+$', '', 'g') AS t FROM es)\n--\nSELECT id, CASE WHEN t = '' THEN 'empty' WHEN regexp_matches(t, '(?i)^(as an ai|here is|i cannot)') THEN 'preamble' WHEN regexp_matches(t, '[*#]') THEN 'markdown' WHEN n_words IS NOT NULL AND abs(n_words - len(string_split(t, ' '))) > 0.25 * n_words THEN 'drift' WHEN NOT regexp_matches(t, '[.!?\"”)]$') THEN 'final' END AS reason FROM t")
-def _(s, d):
-    t = F.regexp_replace("text", r"^\s+|\s+$", "")
-    x = es(s, d).select("id", "n_words", t.alias("t"))
-    drift = F.col("n_words").isNotNull() & (F.abs(F.col("n_words") - F.size(F.split("t", " "))) > 0.25 * F.col("n_words"))
-    reason = F.when(F.col("t") == "", "empty").when(F.col("t").rlike("(?i)^(as an ai|here is|i cannot)"), "preamble").when(F.col("t").rlike("[*#]"), "markdown").when(drift, "drift").when(~F.col("t").rlike('[.!?"”)]$'), "final")
-    return x.select("id", reason.alias("reason"))
-
-
 @query("flt_p8_rank_bucket", "SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey <= 10 THEN 'top10' WHEN l_partkey <= 100 THEN 'top100' WHEN l_partkey <= 1000 THEN 'top1000' ELSE 'tail' END AS bucket FROM lineitem")
 def _(s, d):
     k = F.col("l_partkey")
@@ -45,23 +36,6 @@ def _(s, d):
     return es(s, d).select("id", F.concat_ws("\n", ask, F.concat(F.lit("Style: "), F.get_json_object("meta", "$.style"))).alias("message"))
 
 
-@query("flt_p12_typography_fold", "SELECT doc_id, md5(replace(translate(text, '‘’“”–—', '''''\"\"--'), '…', '...')) AS folded FROM documents WHERE text IS NOT NULL")
-def _(s, d):
-    return table(s, d, "documents").where("text IS NOT NULL").select("doc_id", F.md5(F.replace(F.translate("text", "‘’“”–—", "''\"\"--"), F.lit("…"), F.lit("..."))).alias("folded"))
-
-
-@query("flt_p13_first_words", "SELECT doc_id, md5(array_to_string(string_split(text, ' ')[1:100], ' ')) AS head FROM documents WHERE text IS NOT NULL AND len(string_split(text, ' ')) >= 100")
-def _(s, d):
-    w = F.split("text", " ")
-    return table(s, d, "documents").where("text IS NOT NULL").where(F.size(w) >= 100).select("doc_id", F.md5(F.array_join(F.slice(w, 1, 100), " ")).alias("head"))
-
-
-@query("flt_p14_content_mask", "SELECT doc_id, md5(array_to_string(list_transform(regexp_extract_all(lower(text), '[a-z]+'), lambda x: CASE WHEN x IN (" + ", ".join(f"'{w}'" for w in L.FUNCTION_WORDS) + ") THEN x ELSE '#' END), ' ')) AS masked FROM documents WHERE text IS NOT NULL")
-def _(s, d):
-    w = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
-    return table(s, d, "documents").where("text IS NOT NULL").select("doc_id", F.md5(F.array_join(F.transform(w, lambda x: F.when(x.isin(*L.FUNCTION_WORDS), x).otherwise("#")), " ")).alias("masked"))
-
-
 @query("flt_p19_p20_long_documents", f"WITH {SC}, n AS (SELECT doc_id, count(*) AS n, bool_or(label = 1) AS machine FROM sc GROUP BY doc_id)\n--\nSELECT doc_id, n, coalesce(machine, false) AS machine FROM n WHERE n >= 5")
 def _(s, d):
     return sc(s, d).groupBy("doc_id").agg(F.count("*").alias("n"), F.coalesce(F.bool_or(F.col("label") == 1), F.lit(False)).alias("machine")).where("n >= 5")
@@ -78,12 +52,6 @@ def _(s, d):
     return es(s, d).where(F.date_format("collected_at", "yyyy-MM-dd") <= "2024-11-30").groupBy(F.date_format("collected_at", "yyyy-MM").alias("month")).agg(F.count("*").alias("n"))
 
 
-@query("j2_t8_words_in_spans", f"WITH {SV}, {ES}, w AS (SELECT id, unnest(regexp_extract_all(text, '[^\\s\\x0b\\p{{Z}}\\x{{85}}]+')) AS w FROM es)\n--\nSELECT id, count(*) AS words, sum(length(w))::BIGINT AS letters FROM w GROUP BY id")
-def _(s, d):
-    w = es(s, d).select("id", F.explode(F.regexp_extract_all("text", F.lit(r"(?U)\S+"), F.lit(0))).alias("w"))
-    return w.groupBy("id").agg(F.count("*").alias("words"), F.sum(F.length("w")).cast("bigint").alias("letters"))
-
-
 @query("j9_positional_pairs", "WITH a AS (SELECT id, row_number() OVER (ORDER BY id) AS n FROM (SELECT DISTINCT id FROM essays WHERE authorship = 'human')), b AS (SELECT id, row_number() OVER (ORDER BY id) AS n FROM (SELECT DISTINCT id FROM essays WHERE authorship = 'machine'))\n--\nSELECT a.id AS human, b.id AS machine FROM a JOIN b USING (n)")
 def _(s, d):
     e = table(s, d, "essays").select("id", "authorship").distinct()
@@ -92,13 +60,6 @@ def _(s, d):
     return a.join(e.where("authorship = 'machine'").select(F.col("id").alias("machine"), n.alias("n")), "n").select("human", "machine")
 
 
-@query("j15_keep_old_notes", "SELECT r.source_id, coalesce(nullif(r.licence, ''), 'none:' || coalesce(r.label, '')) AS note FROM source_registry r")
-def _(s, d):
-    r = table(s, d, "source_registry")
-    new = r.select("source_id", F.concat(F.lit("none:"), F.coalesce("label", F.lit(""))).alias("new"))
-    return r.select("source_id", F.col("licence").alias("old")).join(new, "source_id", "left").select("source_id", F.coalesce(F.nullif("old", F.lit("")), F.col("new")).alias("note"))
-
-
 @query("j18_a24_within_source_contrast", f"WITH {DS}, g AS (SELECT source, sum((role = 'train')::INT) AS n, avg(mean_p) FILTER (role = 'train') AS a, avg(mean_p) FILTER (role <> 'train') AS b FROM ds GROUP BY source)\n--\nSELECT count(*) AS sources, sum(n * (a - b)) / sum(n) AS difference FROM g WHERE a IS NOT NULL AND b IS NOT NULL", "difference")
 def _(s, d):
     train = F.col("role") == "train"
@@ -118,19 +79,6 @@ def _(s, d):
     return table(s, d, "essays").select("id").distinct().orderBy(F.sha2(F.concat(F.lit("7:"), F.col("id")), 256), "id").limit(40)
 
 
-@query("s25_redacted_quotes", f"WITH {SV}, {ES}, q AS (SELECT doc_id, sentence_index, length(left(sv.text, 320)) AS n, greatest(200, floor(0.35 * length(es.text))) AS most FROM sv JOIN es ON sv.doc_id = es.id WHERE sv.probability >= 0.9), r AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY sentence_index) AS used FROM q)\n--\nSELECT doc_id, sentence_index, n FROM r WHERE used <= most")
-def _(s, d):
-    e = es(s, d).select(F.col("id").alias("doc_id"), F.greatest(F.lit(200), F.floor(0.35 * F.length("text"))).alias("most"))
-    q = sv(s, d).where("probability >= 0.9").select("doc_id", "sentence_index", F.length(F.substring("text", 1, 320)).cast("bigint").alias("n")).join(e, "doc_id")
-    return q.withColumn("used", F.sum("n").over(W.partitionBy("doc_id").orderBy("sentence_index"))).where("used <= most").select("doc_id", "sentence_index", "n")
-
-
-@query("s26_named_sets", "SELECT v.name, e.id FROM (SELECT DISTINCT id, source_id FROM essays WHERE source_id IS NOT NULL) e JOIN (SELECT source_id, CASE WHEN verified THEN 'checked' ELSE 'open' END AS name FROM source_registry) v USING (source_id)")
-def _(s, d):
-    sets = table(s, d, "source_registry").select("source_id", F.when(F.col("verified"), "checked").otherwise("open").alias("name"))
-    return corpus.attach(table(s, d, "essays").where("source_id IS NOT NULL").select("id", "source_id").distinct(), sets, ["source_id"], "inner").select("name", "id")
-
-
 @query("w16_first_sentences", f"WITH {SV}, r AS (SELECT doc_id, sentence_index, probability, row_number() OVER (PARTITION BY doc_id ORDER BY sentence_index) AS n FROM sv)\n--\nSELECT doc_id, avg(probability) AS mean_of_first FROM r WHERE n <= 5 GROUP BY doc_id", "mean_of_first")
 def _(s, d):
     return corpus.cap_per_key(sv(s, d).select("doc_id", "sentence_index", "probability"), ["doc_id"], [F.col("sentence_index")], 5).groupBy("doc_id").agg(F.avg("probability").alias("mean_of_first"))

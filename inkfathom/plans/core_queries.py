@@ -458,12 +458,6 @@ def _(s, d):
     return corpus.even_half(es(s, d), "id", ["source_id"]).select("id", F.col("half").cast("bigint").alias("half"))
 
 
-@query("s13_k10_w13_stride_cap", "SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents WHERE (doc_id // 100) % 3 = 0 AND n_chars >= 120) WHERE r <= 20")
-def _(s, d):
-    x = table(s, d, "documents").where((F.floor(F.col("doc_id") / 100) % 3 == 0) & (F.col("n_chars") >= 120))
-    return corpus.cap_per_key(x, ["source"], [F.col("doc_id")], 20).select("source", "doc_id")
-
-
 @query("k7_s18_budget", "SELECT doc_id, model FROM (SELECT doc_id, model, sum(coalesce(neurons, 0)) OVER (PARTITION BY model ORDER BY observed_at, doc_id, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM (SELECT DISTINCT doc_id, model, neurons, observed_at, n_tokens AS k FROM observations)) WHERE coalesce(before, 0) < 500")
 def _(s, d):
     o = table(s, d, "observations").select("doc_id", "model", "neurons", "observed_at", F.col("n_tokens").alias("k")).distinct().withColumn("cost", F.coalesce("neurons", F.lit(0.0)))
@@ -509,7 +503,7 @@ def _(s, d):
     return corpus.attach(es(s, d), r, ["source_id"]).select("id", "label", (~F.lower(F.trim("role")).eqNullSafe(F.col("listed"))).alias("role_differs"))
 
 
-@query("j14_j20_a38_observer_alignment", "WITH o AS (SELECT doc_id, model, avg(neurons) AS x FROM (SELECT DISTINCT * FROM observations) WHERE neurons IS NOT NULL GROUP BY ALL)\n--\nSELECT a.model AS a, b.model AS b, count(*) AS n, CASE WHEN stddev_samp(a.x) * stddev_samp(b.x) > 1e-12 THEN covar_samp(a.x, b.x) / (stddev_samp(a.x) * stddev_samp(b.x)) END AS r FROM o a JOIN o b ON a.doc_id = b.doc_id AND a.model < b.model GROUP BY ALL HAVING count(*) >= 3", "r")
+@query("j14_j20_observer_alignment", "WITH o AS (SELECT doc_id, model, avg(neurons) AS x FROM (SELECT DISTINCT * FROM observations) WHERE neurons IS NOT NULL GROUP BY ALL)\n--\nSELECT a.model AS a, b.model AS b, count(*) AS n, CASE WHEN stddev_samp(a.x) * stddev_samp(b.x) > 1e-12 THEN covar_samp(a.x, b.x) / (stddev_samp(a.x) * stddev_samp(b.x)) END AS r FROM o a JOIN o b ON a.doc_id = b.doc_id AND a.model < b.model GROUP BY ALL HAVING count(*) >= 3", "r")
 def _(s, d):
     o = table(s, d, "observations").distinct().where("neurons IS NOT NULL").groupBy("doc_id", "model").agg(F.avg("neurons").alias("x"))
     return o.alias("p").join(o.alias("q"), F.expr("p.doc_id = q.doc_id AND p.model < q.model")).groupBy(F.col("p.model").alias("a"), F.col("q.model").alias("b")).agg(F.count("*").alias("n"), metrics.correlation("p.x", "q.x").alias("r")).where("n >= 3")

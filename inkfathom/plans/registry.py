@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkfathom.plans import audit_queries, core_queries, probe_queries, text_queries
+from inkfathom.plans import audit_queries, core_queries, filter_queries, probe_queries, text_queries
 
 flagship = text_queries.flagship
-_ALL = (audit_queries, core_queries, probe_queries, text_queries)  # each registers its queries on import
+_ALL = (audit_queries, core_queries, filter_queries, probe_queries, text_queries)  # each registers its queries on import
 Query = Callable[[SparkSession, str], DataFrame]
 
 

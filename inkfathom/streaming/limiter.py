@@ -77,6 +77,33 @@ def daily_budget(events: DataFrame, budget: float = 7000.0) -> DataFrame:
     return d.select("event_id", "day", "spent_before", (F.col("spent_before") + F.col("cost") <= budget).alias("admitted"))
 
 
+def _settle(budget: float):
+    def run(part: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+        spent, admitted, before = 0.0, [], []
+        for est, actual in zip(part["est"], part["settled"], strict=True):
+            before.append(spent)
+            ok = spent + est <= budget
+            admitted.append(ok)
+            if ok:  # reserved, then settled
+                spent = max(0.0, spent + est - est + actual)
+        return {"event_id": part["event_id"], "day": part["day"], "admitted": np.array(admitted), "spent_before": np.array(before)}
+
+    return run
+
+
+def settled_budget(calls: DataFrame, budget: float = 7000.0) -> DataFrame:
+    """(event_id, day, admitted, spent_before) of calls (event_id, ts, est, actual, outcome) in order of time.
+
+    A call is refused if what the UTC day has spent and its estimate exceed the budget; a refused call spends nothing.
+    An admitted call's estimate is reserved and then settled to its actual cost; it is refunded if the call failed before
+    it went out (``failed_before``) and kept if the observer failed (``failed_after``). What was spent depends on every
+    decision before, so a day is one sequence (a day's calls, a bounded number under any budget, in one task).
+    """
+    settled = F.when(F.col("outcome") == "failed_before", 0.0).when(F.col("outcome") == "failed_after", F.col("est")).otherwise(F.col("actual"))
+    rows = calls.select("event_id", F.date_trunc("day", "ts").cast("date").cast("string").alias("day"), "ts", "est", settled.alias("settled"))
+    return map_runs(rows, "day", ["ts", "event_id"], _settle(budget), "event_id bigint, day string, admitted boolean, spent_before double")
+
+
 def windowed_rates(events: DataFrame, width: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
     """Extension: events and mean value by type in tumbling or sliding windows; on a stream late rows are dropped after ``late``."""
     w = F.window("ts", width, slide) if slide else F.window("ts", width)
