@@ -9,7 +9,7 @@ J = 0.5 shares none of 32 two-row patterns with probability 0.75^32 = 1e-4, a pa
 node the fingerprints are sorted by Gray rank, so that neighbours differ in few bits; runs of neighbours become leaves,
 whose common bits (a mask and its pattern) are factored into the node above, and so on up. A search walks pairs of
 nodes and drops a whole pair of groups as soon as the differences of their masked patterns exceed the bound. What is
-left is verified exactly on the shingle sets.
+left is verified exactly on the shingle sets. An upper node with no more classes than a leaf holds is a single leaf.
 
 An upper node with more than ``TILE`` classes is cut into blocks; each pair of blocks is a task of its own, so that no
 group is collected whole, and no record is dropped.
@@ -226,13 +226,14 @@ def near_duplicate_pairs(df: DataFrame, key: str = "id", column: str = "text", k
 
 
 def near_duplicate_classes(df: DataFrame, key: str = "doc_id", column: str = "text", k: int = 5, least: float = 0.8) -> DataFrame:
-    """(key, cls, copies, links): one row per record with its class, the number of records in that class and the
-    number of other classes with a similarity of at least ``least``. Records without k words have null class and 0 links.
+    """(key, class_id, copies, links): one row per record with the smallest key of its class (all records with the same set of
+    shingles), the number of records in that class and the number of other classes with a similarity of at least
+    ``least``. Records without k words have no class, 0 copies and 0 links.
     """
     members, classes = shingles.shingle_classes(df, key, column, k)
     near = near_classes(classes, least)
     links = near.select(F.col("a").alias("cls")).unionAll(near.select(F.col("b").alias("cls"))).groupBy("cls").agg(F.count("*").alias("links"))
-    sizes = members.groupBy("cls").agg(F.count("*").alias("copies"))
-    known = members.join(sizes, "cls").join(links, "cls", "left")
+    sizes = members.groupBy("cls").agg(F.count("*").alias("copies"), F.min(key).alias("class_id"))
+    known = members.join(sizes.join(links, "cls", "left"), "cls")
     keys = df.select(key).where(F.col(key).isNotNull()).distinct()
-    return keys.join(known, key, "left").select(key, "cls", F.coalesce("copies", F.lit(0)).alias("copies"), F.coalesce("links", F.lit(0)).alias("links"))
+    return keys.join(known, key, "left").select(key, "class_id", F.coalesce("copies", F.lit(0)).alias("copies"), F.coalesce("links", F.lit(0)).alias("links"))

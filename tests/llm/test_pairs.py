@@ -55,7 +55,7 @@ def test_near_duplicates_in_tiles(spark, corpus, monkeypatch):
 
 def test_near_duplicate_classes(spark, corpus):
     r = {x.id: x for x in graydup.near_duplicate_classes(frame(spark, corpus), "id", k=3, least=0.5).collect()}
-    assert r["copy1"].copies == 3 and r["null"].cls is None and r["short"].links == 0 and len(r) == len(corpus)
+    assert r["copy1"].copies == 3 and r["null"].class_id is None and r["short"].links == 0 and len(r) == len(corpus)
 
 
 def test_gray_index_finds_all_pairs():
