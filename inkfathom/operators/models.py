@@ -165,6 +165,25 @@ def length_ablation(df: DataFrame, names: list[str], length: str, label: str, gr
     return out
 
 
+def train_all(df: DataFrame, names: list[str], label: str, group: str, path: str) -> DataFrame:
+    """M8: (name, value) of what a training run decides, after saving its artifacts under ``path``: out-of-fold probabilities by
+    group, their calibration, the detector on all rows, the flag threshold, the bands and the document cut."""
+    from inkfathom.operators.document import fit_detector, out_of_fold
+
+    spark = df.sparkSession
+    x = out_of_fold(df, names, group, label=label)
+    knots = platt_knots(x, "probability", label, group)
+    x = cut_lineage(x.withColumn("p", interpolate(F.col("probability"), knots)))
+    fitted, intercept = fit_detector(df, names, label)
+    flag = metrics.choose_threshold(x, "p", label, []).first()
+    bands = metrics.fit_bands(x, "p", label).first()
+    cut = metrics.budget_cut(x.where(F.col(label) == 0), "p", 0.05).first()
+    area = metrics.auroc(x, "p", label, []).first()
+    out = {"flag_threshold": flag.threshold if flag else None, "t_human": bands.t_human, "t_machine": bands.t_machine, "document_cut": cut.cut if cut else None, "auroc": area.auroc if area else None}
+    save_model(spark, path, fitted, intercept, knots=knots, thresholds=out)
+    return spark.createDataFrame([(k, None if v is None else float(v)) for k, v in out.items()], "name string, value double")
+
+
 # --- artifacts -----------------------------------------------------------------------------------------------------
 def save_model(spark: SparkSession, path: str, fitted: dict[str, dict[str, float]], intercept: float, **more: object) -> None:
     """A model as one JSON row; ``more`` (threshold, knots, metadata) is kept as it is."""

@@ -86,6 +86,23 @@ def followers(model: dict[str, DataFrame]) -> DataFrame:
     return a.select("b", "n_next", "mu", F.greatest(F.col("q") - F.col("mu") * F.col("mu"), F.lit(0.0)).alias("sigma2"), (-F.col("mu")).alias("entropy"))
 
 
+def cross_entropies(model: dict[str, DataFrame]) -> DataFrame:
+    """O6 for the stand-in: (b, xent): cross-entropy of the distribution over the words seen after each word against the
+    smoothed single-word model, the second observer."""
+    total = model["bi"].groupBy("b").agg(F.sum("c").alias("d"))
+    p1 = model["uni"].select("w", F.col("c").alias("c1")).crossJoin(F.broadcast(model["meta"])).select("w", ((F.col("c1") + 1) / (F.col("total_tokens") + F.col("vocab_size"))).alias("q"))  # meta is one row
+    x = model["bi"].join(checked_broadcast(total), "b").join(checked_broadcast(p1), "w")
+    return x.groupBy("b").agg((-F.sum(F.col("c") / F.col("d") * F.log("q"))).alias("xent"))
+
+
+def two_model_ratio(sentences: DataFrame, keys: list[str], model: dict[str, DataFrame], text: str = "text") -> DataFrame:
+    """(keys, xent, ratio) per sentence of at least five tokens: mean cross-entropy of the two observers over tokens whose
+    context has one, and mean surprisal over it."""
+    t = token_logprobs(sentences, keys, model, text).join(checked_broadcast(cross_entropies(model).withColumnRenamed("b", "xb")), F.col("b") == F.col("xb"), "left")
+    a = t.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(-F.col("logprob")).alias("s"), F.avg("xent").alias("xent")).where("n >= 5")
+    return a.select(*keys, "xent", F.try_divide("s", "xent").alias("ratio"))
+
+
 def observe(sentences: DataFrame, keys: list[str], model: dict[str, DataFrame], text: str = "text") -> DataFrame:
     """Token rows (keys, tok_idx, token, logprob, rank, entropy, mu, sigma2) of the stand-in observer.
 

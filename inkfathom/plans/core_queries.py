@@ -233,12 +233,6 @@ def _(s, d):
     return context.context_features(sv(s, d).select("doc_id", "sentence_index", "n_words")).select("doc_id", "sentence_index", "len_z_in_doc")
 
 
-@query("f41_w2_w3_style_gap")
-def _(s, d):
-    f = features.surface_features(sv(s, d).select("doc_id", "sentence_index", "text"))
-    return context.context_features(f).select("doc_id", "sentence_index", "style_gap_from_doc")
-
-
 @query("w10_loo_mean_z", f"WITH {SV}, c AS (SELECT doc_id, sentence_index, coalesce(n_words::DOUBLE, avg(n_words) OVER (PARTITION BY doc_id)) AS x FROM sv), e AS (SELECT *, x - avg(x) OVER (PARTITION BY doc_id) AS y, count(*) OVER (PARTITION BY doc_id) - 1 AS n FROM c), f AS (SELECT *, (sum(y) OVER (PARTITION BY doc_id) - y) / nullif(n, 0) AS m, (sum(y * y) OVER (PARTITION BY doc_id) - y * y) / nullif(n, 0) AS q FROM e), g AS (SELECT *, sqrt(greatest(q - m * m, 0)) AS sd FROM f)\n--\nSELECT doc_id, sentence_index, CASE WHEN sd < 1e-9 THEN 0.0 ELSE least(greatest((y - m) / sd, -6), 6) END AS n_words_loo_z FROM g", "n_words_loo_z")
 def _(s, d):
     return context.loo_mean_z(sv(s, d).withColumn("n_words", F.col("n_words").cast("double")), "n_words").select("doc_id", "sentence_index", "n_words_loo_z")
@@ -516,6 +510,10 @@ def _(s, d):
 
 # --- state and streams ---------------------------------------------------------------------------------------------
 QUERIES["r1_r3_rate_limit"] = lambda s, d: limiter.rate_limit(table(s, d, "events"))
+SQL["r1_r3_rate_limit"] = """WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+r AS (SELECT event_id, user_id, n, true AS admitted, [t] AS hits FROM e WHERE n = 1
+UNION ALL SELECT event_id, user_id, n, ok, CASE WHEN ok THEN list_append(kept, t) ELSE kept END FROM (SELECT e.*, list_filter(r.hits, lambda h: e.t - h < 3600) AS kept, len(list_filter(r.hits, lambda h: e.t - h < 3600)) < 60 AND len(list_filter(r.hits, lambda h: e.t - h < 60)) < 6 AS ok FROM r JOIN e ON e.user_id = r.user_id AND e.n = r.n + 1))
+SELECT event_id, user_id, admitted FROM r"""
 
 
 @query("r2_daily_budget", "WITH e AS (SELECT event_id, date_trunc('day', ts) AS day, ts, coalesce(value, 0.0) AS cost FROM events), x AS (SELECT *, sum(cost) OVER (PARTITION BY day ORDER BY ts, event_id) - cost AS spent_before FROM e)\n--\nSELECT event_id, day::TIMESTAMP AS day, spent_before, spent_before + cost <= 7000 AS admitted FROM x", "spent_before")

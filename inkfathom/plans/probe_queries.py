@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
 from inkfathom.operators import corpus, document, metrics, models, probes, ranks, vocabulary
 from inkfathom.plans.core_queries import DS, ES, SC, SV, docs_scored, es, query, sc, sv
-from inkfathom.session import table
+from inkfathom.session import checkpoint_dir, table
 
 #: P(X <= k) of n trials at rate b, as SQL: the exact bound of k of n is within b where it is at most 0.05.
 CDF = "list_sum(list_transform(range(0, {k}::BIGINT + 1), lambda i: exp(lgamma({n} + 1) - lgamma(i + 1) - lgamma({n} - i + 1) + i * ln({b}) + ({n} - i) * ln(1 - {b}))))"
@@ -295,6 +297,11 @@ def _(s, d):
     return x.select("doc_id", "fold", "probability", models.interpolate(F.col("probability"), knots).alias("calibrated"))
 
 
+@query("m8_training_run")
+def _(s, d):
+    return models.train_all(docs_scored(s, d).where("label IS NOT NULL"), FEATURES, "label", "source", os.path.join(checkpoint_dir(s), "artifact-m8"))
+
+
 _KNOTS = models.knots_of(5.2, -2.3)
 
 

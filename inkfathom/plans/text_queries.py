@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from inkfathom.functions import lexicons as L
 from inkfathom.operators import consensus, context, document, features, ngram, segments, syntax
 from inkfathom.plans.core_queries import DETECTOR, ES, INTERCEPT, LOO, LP, OB, QUERIES, SQL, SV, SURFACE_SQL, es, model, query, r6, sentences, sv
 from inkfathom.session import table
@@ -101,6 +102,21 @@ for _name, _value, _column in (("f38_logprob_z", "lp", "logprob_z_in_doc"), ("f3
     query(_name, _sql.replace("WITH rw AS", f"WITH {SV}, rw AS", 1), _column)(lambda s, d, c=_column: context.context_features(_observer_rows(s, d)).select("doc_id", "sentence_index", c))
 
 
+@query("o6_two_model_ratio", f"WITH {LP}, xe AS (SELECT b, -sum(c / d::DOUBLE * ln(q)) AS xent FROM (SELECT b, w, c, sum(c) OVER (PARTITION BY b) AS d FROM bi) JOIN (SELECT w, (c + 1) / (total_tokens + vocab_size)::DOUBLE AS q FROM uni, meta) USING (w) GROUP BY b)\n--\nSELECT k1, k2, avg(xent) AS xent, avg(-logprob) / nullif(avg(xent), 0) AS ratio FROM lp LEFT JOIN xe ON lp.b = xe.b GROUP BY k1, k2 HAVING count(*) >= 5", "xent ratio")
+def _(s, d):
+    return ngram.two_model_ratio(sentences(s, d), ["k1", "k2"], model(s, d))
+
+
+@query("f41_w2_w3_style_gap")
+def _(s, d):
+    """All style keys: those of the text, of the observer and of the reference."""
+    v = sv(s, d).where("text IS NOT NULL").select(F.col("doc_id").alias("k1"), F.col("sentence_index").alias("k2"), "text")
+    m, keys = model(s, d), ["k1", "k2"]
+    x = features.surface_features(v).join(features.observer_features(ngram.observe(v, keys, m), keys), keys, "left").join(ngram.corpus_features(v, keys, m), keys, "left")
+    x = x.select(F.col("k1").alias("doc_id"), F.col("k2").alias("sentence_index"), *L.STYLE_KEYS)
+    return context.context_features(x).select("doc_id", "sentence_index", "style_gap_from_doc")
+
+
 @query("j2_words_of_tokens", f"""WITH {LP}, {FW}, rk AS (SELECT w, rank() OVER (ORDER BY c DESC) AS r FROM uni), tk AS (SELECT k1, k2, pos * 6 AS cs, logprob, coalesce(r, 1048576) AS r FROM lp LEFT JOIN rk USING (w)), wd AS (SELECT DISTINCT k1, k2, floor(pos * 6 / 13)::BIGINT AS word FROM lp)
 --
 SELECT wd.k1, wd.k2, word, count(*) AS tokens, avg(logprob) AS logprob, ln(greatest(min(r), 1)) AS log_rank FROM wd JOIN tk ON wd.k1 = tk.k1 AND wd.k2 = tk.k2 AND cs + 2 >= word * 13 AND cs + 2 < word * 13 + 13 GROUP BY wd.k1, wd.k2, word""", "logprob log_rank")
