@@ -1,11 +1,62 @@
 """Word lists of the surface features."""
 
 # The lists that the features are defined by.
-MACHINE_PHRASES = """it is important to note|it is worth noting|plays a crucial role|plays a vital role|plays a significant role|in today's world|in today's fast-paced|in an ever-changing|ever-evolving|a testament to|serves as a reminder
-navigate the complexities|navigating the complexities|delve into|delving into|shed light on|a beacon of|the tapestry of|rich tapestry|at its core|more than just|not merely|not just a|underscores the importance|highlights the importance
-fostering a sense of|instilled in me|taught me valuable lessons|valuable lesson|a profound impact|profound understanding|deeply resonated|resonated with me|pivotal moment|defining moment|little did i know|as i reflect|reflecting on this
-this experience taught me|i came to realize|i realized that|the power of|embrace the|embark on|embarked on a journey|journey of self-discovery|paved the way|opened my eyes|eye-opening experience|stepping out of my comfort zone|outside my comfort zone
-in conclusion|ultimately taught me|continues to shape|shaped who i am|who i am today""".replace("\n", "|").split("|")
+MACHINE_PHRASES = """it is important to note
+it is worth noting
+plays a crucial role
+plays a vital role
+plays a significant role
+in today's world
+in today's fast-paced
+in an ever-changing
+ever-evolving
+a testament to
+serves as a reminder
+navigate the complexities
+navigating the complexities
+delve into
+delving into
+shed light on
+a beacon of
+the tapestry of
+rich tapestry
+at its core
+more than just
+not merely
+not just a
+underscores the importance
+highlights the importance
+fostering a sense of
+instilled in me
+taught me valuable lessons
+valuable lesson
+a profound impact
+profound understanding
+deeply resonated
+resonated with me
+pivotal moment
+defining moment
+little did i know
+as i reflect
+reflecting on this
+this experience taught me
+i came to realize
+i realized that
+the power of
+embrace the
+embark on
+embarked on a journey
+journey of self-discovery
+paved the way
+opened my eyes
+eye-opening experience
+stepping out of my comfort zone
+outside my comfort zone
+in conclusion
+ultimately taught me
+continues to shape
+shaped who i am
+who i am today""".splitlines()
 MACHINE_WORDS = """moreover furthermore additionally consequently therefore thus hence crucial pivotal profound invaluable multifaceted nuanced holistic
 intricate intricacies myriad plethora realm landscape framework endeavor endeavour aspiration resilience perseverance determination unwavering steadfast relentless meticulous diligent
 foster fostering cultivate cultivating harness harnessing leverage transformative empowering enriching fulfilling rewarding showcase showcasing underscore underscores exemplify exemplifies
@@ -22,6 +73,7 @@ i me my myself we us our ours ourselves you your yours he him his she her hers i
 were be been being have has had having do does did doing would could shall""".split()
 CONCRETE = """monday tuesday wednesday thursday friday saturday sunday january february march april may june july august september october november december
 morning afternoon evening midnight noon""".split()
+# Words that open a clause, and words of the first person.
 CLAUSE_MARKERS = "that which who whom whose because although though while whereas since unless until whether if when where after before as".split()
 FIRST_PERSON = "i me my mine myself we us our ours".split()
 # Typography by collection method, each brought to one form.

@@ -42,12 +42,18 @@ def nearest_rank(c: Column, p: float) -> Column:
     return F.element_at(s, (F.floor(p * (F.count(c) - 1)) + 1).cast("int"))
 
 
+def rank_elements(df: DataFrame, value: str, by: list[str], places: dict[str, Column]) -> DataFrame:
+    """(by, place, element): the elements at named 0-based places (expressions over n) of the sorted non-null values of each
+    group, from running counts of the different values: no group is sorted or collected in one task."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("element")).agg(F.count("*").alias("_c"))
+    d = running_sums(counts, by, "element", ["_c"]).withColumnRenamed("_c_all", "n")
+    d = d.select("*", F.explode(F.array(*(F.struct(F.lit(k).alias("place"), p.cast("bigint").alias("at")) for k, p in places.items()))).alias("_p"))
+    return d.where((F.col("_c_upto") > F.col("_p.at")) & (F.col("_c_upto") - F.col("_c") <= F.col("_p.at"))).select(*by, "_p.place", "element")
+
+
 def rank_element(df: DataFrame, value: str, by: list[str], place: Column, name: str) -> DataFrame:
-    """The element at a 0-based ``place`` (an expression over n) of the sorted non-null values of each group, from running
-    counts of the different values: no group is sorted or collected in one task."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias(name)).agg(F.count("*").alias("_c"))
-    d = running_sums(counts, by, name, ["_c"]).withColumnRenamed("_c_all", "n")
-    return d.where((F.col("_c_upto") > place) & (F.col("_c_upto") - F.col("_c") <= place)).select(*by, name)
+    """The element at one place of each group, see :func:`rank_elements`."""
+    return rank_elements(df, value, by, {"": place}).select(*by, F.col("element").alias(name))
 
 
 def even_half(df: DataFrame, key: str, by: list[str]) -> DataFrame:

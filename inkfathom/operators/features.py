@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -13,7 +13,8 @@ from inkfathom.operators.metrics import correlation
 MIN_WORDS, MIN_TOKENS = 4, 5
 SURFACE = "n_words mean_word_len long_word_rate root_ttr comma_rate punct_variety em_dash_rate subordination_rate function_word_rate machine_phrase_rate machine_word_rate hedge_rate booster_rate discourse_marker_rate first_person_rate contraction_rate specificity_rate tricolon antithesis".split()
 OBSERVER = "mean_logprob logprob_sd logprob_iqr frac_rank_top1 frac_rank_top10 frac_rank_top100 frac_rank_tail mean_log_rank log_rank_sd mean_entropy entropy_sd lrr curvature surprisal_autocorr".split()
-TRICOLON = r"(?U)[\w'’]+(?:\s+[\w'’]+){0,3},\s+[\w'’]+(?:\s+[\w'’]+){0,3},\s+and\s+"
+# The two patterns that the features are defined by.
+TRICOLON = r"(?U)\b[\w'’]+(?:\s+[\w'’]+){0,3},\s+[\w'’]+(?:\s+[\w'’]+){0,3},\s+and\s+"
 ANTITHESIS = r"(?is)\bnot (?:just|only|merely|simply)\b.{0,80}?\bbut\b|\bwas ?n[o'’]t\b.{0,60}?\bit was\b|\bmore than (?:just )?a\b"
 
 

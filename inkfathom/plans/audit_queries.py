@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from inkfathom.functions import lexicons as L
 
-from inkfathom.operators import corpus, document, features, metrics, ngram
+from inkfathom.operators import corpus, features, metrics, ngram
+from inkfathom.operators.ranks import row_numbers
 from inkfathom.plans.core_queries import DS, ES, LP, QUERIES, SC, SV, docs_scored, es, model, query, r6, sc, sentences, sv
 from inkfathom.session import table
 
@@ -55,9 +55,8 @@ def _(s, d):
 @query("j9_positional_pairs", "WITH a AS (SELECT id, row_number() OVER (ORDER BY id) AS n FROM (SELECT DISTINCT id FROM essays WHERE authorship = 'human')), b AS (SELECT id, row_number() OVER (ORDER BY id) AS n FROM (SELECT DISTINCT id FROM essays WHERE authorship = 'machine'))\n--\nSELECT a.id AS human, b.id AS machine FROM a JOIN b USING (n)")
 def _(s, d):
     e = table(s, d, "essays").select("id", "authorship").distinct()
-    n = F.row_number().over(W.orderBy("id"))
-    a = e.where("authorship = 'human'").select(F.col("id").alias("human"), n.alias("n"))
-    return a.join(e.where("authorship = 'machine'").select(F.col("id").alias("machine"), n.alias("n")), "n").select("human", "machine")
+    numbered = lambda a, name: row_numbers(e.where(F.col("authorship") == a).select(F.col("id").alias(name)), [F.col(name)], [])
+    return numbered("human", "human").join(numbered("machine", "machine"), "n").select("human", "machine")
 
 
 @query("j18_a24_within_source_contrast", f"WITH {DS}, g AS (SELECT source, sum((role = 'train')::INT) AS n, avg(mean_p) FILTER (role = 'train') AS a, avg(mean_p) FILTER (role <> 'train') AS b FROM ds GROUP BY source)\n--\nSELECT count(*) AS sources, sum(n * (a - b)) / sum(n) AS difference FROM g WHERE a IS NOT NULL AND b IS NOT NULL", "difference")
@@ -86,11 +85,10 @@ def _(s, d):
 
 @query("a41_length_deciles", f"WITH {ES}, x AS (SELECT authorship, n_words, row_number() OVER (PARTITION BY authorship ORDER BY n_words) - 1 AS i, count(*) OVER (PARTITION BY authorship) AS n FROM es WHERE n_words IS NOT NULL AND authorship IN ('human', 'machine')), k AS (SELECT unnest(range(1, 10)) AS k), dd AS (SELECT k, max(n_words) FILTER (authorship = 'human' AND i = floor(k * (n - 1) / 10)) AS human, max(n_words) FILTER (authorship = 'machine' AND i = floor(k * (n - 1) / 10)) AS machine FROM x, k GROUP BY k)\n--\nSELECT k, human, machine, abs(human - machine) AS gap FROM dd")
 def _(s, d):
-    w = W.partitionBy("authorship")
-    x = es(s, d).where("n_words IS NOT NULL AND authorship IN ('human', 'machine')").select("authorship", "n_words", (F.row_number().over(w.orderBy("n_words")) - 1).alias("i"), F.count("*").over(w).alias("n"))
-    x = x.withColumn("k", F.explode(F.filter(F.sequence(F.lit(1), F.lit(9)), lambda k: F.floor(k * (F.col("n") - 1) / 10) == F.col("i"))))
-    of = lambda a: F.max(F.when(F.col("authorship") == a, F.col("n_words")))
-    return x.groupBy(F.col("k").cast("bigint").alias("k")).agg(of("human").alias("human"), of("machine").alias("machine")).withColumn("gap", F.abs(F.col("human") - F.col("machine")))
+    x = es(s, d).where("authorship IN ('human', 'machine')").select("authorship", "n_words")
+    m = corpus.rank_elements(x, "n_words", ["authorship"], {str(k): F.floor(k * (F.col("n") - 1) / 10) for k in range(1, 10)})
+    of = lambda a: F.max(F.when(F.col("authorship") == a, F.col("element")))
+    return m.groupBy(F.col("place").cast("bigint").alias("k")).agg(of("human").alias("human"), of("machine").alias("machine")).withColumn("gap", F.abs(F.col("human") - F.col("machine")))
 
 
 @query("a42_ratio_of_means", "SELECT model, CASE WHEN count(*) >= 5 AND avg(n_tokens) > 1e-6 THEN avg(neurons) / avg(n_tokens) END AS ratio FROM (SELECT DISTINCT * FROM observations) WHERE neurons IS NOT NULL GROUP BY model", "ratio")

@@ -417,11 +417,10 @@ def _(s, d):
 
 @query("s23_quartiles", f"WITH {ES}, m AS (SELECT authorship, n_words, row_number() OVER (PARTITION BY authorship ORDER BY n_words) - 1 AS i, count(*) OVER (PARTITION BY authorship) AS n FROM es WHERE n_words IS NOT NULL)\n--\nSELECT authorship, max(CASE WHEN i = 0 THEN n_words END) AS low, max(CASE WHEN i = n // 4 THEN n_words END) AS p25, max(CASE WHEN i = n // 2 THEN n_words END) AS middle, max(CASE WHEN i = 3 * n // 4 THEN n_words END) AS p75, max(CASE WHEN i = n - 1 THEN n_words END) AS high FROM m GROUP BY authorship")
 def _(s, d):
-    w = W.partitionBy("authorship")
-    m = es(s, d).where("n_words IS NOT NULL").select("authorship", "n_words", (F.row_number().over(w.orderBy("n_words")) - 1).alias("i"), F.count("*").over(w).alias("n"))
-    at = lambda place, name: F.max(F.when(F.col("i") == place, F.col("n_words"))).alias(name)
     n = F.col("n")
-    return m.groupBy("authorship").agg(at(F.lit(0), "low"), at(F.floor(n / 4), "p25"), at(F.floor(n / 2), "middle"), at(F.floor(3 * n / 4), "p75"), at(n - 1, "high"))
+    places = {"low": F.lit(0), "p25": F.floor(n / 4), "middle": F.floor(n / 2), "p75": F.floor(3 * n / 4), "high": n - 1}
+    m = corpus.rank_elements(es(s, d).select("authorship", "n_words"), "n_words", ["authorship"], places)
+    return m.groupBy("authorship").agg(*(F.max(F.when(F.col("place") == p, F.col("element"))).alias(p) for p in places))
 
 
 @query("u2_u5_first_by_hash", "SELECT sha, id FROM (SELECT lower(sha256) AS sha, id, row_number() OVER (PARTITION BY lower(sha256) ORDER BY ingested_at, id) AS r FROM essays WHERE sha256 IS NOT NULL) WHERE r = 1")

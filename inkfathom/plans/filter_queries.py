@@ -10,7 +10,7 @@ from inkfathom.functions import lexicons as L
 from inkfathom.functions import text as X
 from inkfathom.operators import corpus, features, models, ngram
 from inkfathom.operators.ranks import row_numbers
-from inkfathom.plans.core_queries import ES, LP, QUERIES, SV, _surface_sql, es, model, query, r6, sv
+from inkfathom.plans.core_queries import ES, LP, SV, _surface_sql, es, model, query, r6, sv
 from inkfathom.plans.text_queries import FLAGSHIP_SQL, flagship
 from inkfathom.session import checkpoint_dir, table
 from inkfathom.sources import paged
