@@ -55,11 +55,11 @@ TITLES = {
     "ar": "د أ م ا",
 }
 NUMBERED = {
-    "en": "No Nos Fig Figs approx Vol Ch Sec Art p pp vol ca",
-    "es": "núm nº n.º pág págs aprox art cap fig vol No",
-    "fr": "n no env chap fig art vol p pp av",
-    "de": "Nr Abb Bd S ca Kap Art Abs Tab vgl Str",
-    "ru": "стр рис № гл п ст ок",
+    "en": "No Nos Fig Figs approx Vol Ch Sec Art p pp vol ca Jan Feb Mar Apr Jun Jul Aug Sep Sept Oct Nov Dec",
+    "es": "núm nº n.º pág págs aprox art cap fig vol No ene feb abr ago sept oct nov dic",
+    "fr": "n no env chap fig art vol p pp av janv févr avr juil sept oct nov déc",
+    "de": "Nr Abb Bd S ca Kap Art Abs Tab vgl Str Jan Feb Apr Aug Sept Okt Nov Dez",
+    "ru": "стр рис № гл п ст ок янв февр апр авг сент окт нояб дек",
     "hi": "सं क्र पृ",
     "ar": "ص رقم",
 }
@@ -70,6 +70,9 @@ INNER = {
     "de": "z.B z d.h d u.a u o.ä bzw ggf i.d.R v.a vgl usw",
     "ru": "т.е т т.к т.д т.п",
 }
+# Forms of a company, one of which may follow another, and weekdays before a month.
+COMPANIES = "Inc Corp Ltd Co Bros Assn Dept Univ LLC GmbH AG S.A S.L"
+WEEKDAYS, MONTH_NAMES = "Mon Tue Tues Wed Thu Thurs Fri Sat Sun", "Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
 # Months, after which a German ordinal is no end.
 MONTHS = "Januar|Jänner|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember"
 
@@ -125,6 +128,9 @@ def cascade(lang: str) -> tuple:
     for words, after in ((pick(TITLES), r"\s*\p{L}"), (pick(NUMBERED), r"\s*[\p{Nd}\p{Lu}]?\p{Nd}"), (pick(INNER), r"\s*[\p{L}\p{Nd}]")):
         if words:
             table.append(Rule(False, NOT_WORD + rf"(?:{_words(words)})\.", after))
+    if lang == "en" or len(langs) > 1:
+        table.append(Rule(False, NOT_WORD + rf"(?:{_words(COMPANIES)})\.", rf"\s*(?:{_words(COMPANIES)})(?![\p{{L}}])"))
+        table.append(Rule(False, NOT_WORD + rf"(?:{_words(WEEKDAYS)})\.", rf"\s*(?:\p{{Nd}}|(?:{MONTH_NAMES})\p{{Ll}}*[ .]\s*\p{{Nd}})"))
     table += INITIALS + SPEECH + (THAI if lang == "th" else []) + END
     return tuple((r.breaks, r.quote, regex.compile(f"(?<={r.before})(?={r.after})")) for r in table)
 

@@ -6,7 +6,7 @@ import random
 
 import numpy as np
 
-from inkfathom.llm import components, leakage, personal, textform, truncation
+from inkfathom.llm import components, leakage, personal, sentences, textform, truncation
 
 
 # --- look folding
@@ -73,6 +73,13 @@ def test_held_out_frames():
     assert gold > 500 and both >= 0.85 * gold and both >= 0.97 * found, (both / gold, both / found)
 
 
+# --- sentences
+def test_months_weekdays_and_companies():
+    cut = lambda t, lang: [t[a:b] for a, b in sentences.sentence_spans(t, lang)]
+    assert cut("On Jan. 5 we left. On Mon. Jan. 6 we met the Alder Inc. Corp. of Ltd. firms. It was Jan. Then came rain.", "en") == ["On Jan. 5 we left.", "On Mon. Jan. 6 we met the Alder Inc. Corp. of Ltd. firms.", "It was Jan.", "Then came rain."]
+    assert cut("Le 3 janv. 2020 il neigeait. Fin.", "fr") == ["Le 3 janv. 2020 il neigeait.", "Fin."] and cut("Am Okt. 3 war es kalt. Gut.", "de") == ["Am Okt. 3 war es kalt.", "Gut."]
+
+
 # --- truncation
 def test_copies_and_marks_are_no_closing_lines(spark):
     body = "The lamp was out. We knew it was late. "
