@@ -13,7 +13,7 @@ from inkfathom.operators.ranks import row_numbers
 from inkfathom.plans.core_queries import ES, LP, SV, _surface_sql, es, model, query, r6, sv
 from inkfathom.plans.text_queries import FLAGSHIP_SQL, flagship
 from inkfathom.session import checkpoint_dir, table
-from inkfathom.sources import paged
+from inkfathom.sources import files, paged
 from inkfathom.streaming import limiter
 
 # The patterns of a text that is no usable essay: a preamble or refusal, markdown, a trailing note.
@@ -136,6 +136,51 @@ def _(s, d):
 
 
 # --- sources and sinks ---------------------------------------------------------------------------------------------
+def _folder(s, d, name: str) -> str:
+    return os.path.join(checkpoint_dir(s), f"{name}-{os.path.basename(d.rstrip('/'))}")
+
+
+@query("s1_s2_json_lines", f"WITH {ES}\n--\nSELECT id, md5(text) AS digest, n_words::BIGINT AS n_words, md5(meta) AS meta FROM es WHERE text IS NOT NULL")
+def _(s, d):
+    path = _folder(s, d, "lines")
+    files.write_jsonl(es(s, d).where("text IS NOT NULL").select("id", "source_id", "text", "authorship", "role", F.col("n_words").cast("bigint").alias("n_words"), "sha256", "meta"), path)
+    return files.read_jsonl(s, path).select("id", F.md5("text").alias("digest"), "n_words", F.md5("meta").alias("meta"))
+
+
+_ITEM_WORDS = "len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''))"
+
+
+@query("s5_s27_text_files", f"SELECT item_id, md5(text) AS digest FROM heldout_items WHERE {_ITEM_WORDS} >= 50")
+def _(s, d):
+    path = _folder(s, d, "texts")
+    table(s, d, "heldout_items").select("item_id", "text").write.mode("overwrite").partitionBy("item_id").text(path)
+    t = files.read_text_files(s, f"{path}/*", 50)
+    return t.select(F.regexp_extract("file", r"item_id=(\d+)", 1).cast("bigint").alias("item_id"), F.md5(F.regexp_replace("text", r"\n\z", "")).alias("digest"))
+
+
+@query("s6_html_archive", f"SELECT item_id::VARCHAR AS title, lang AS place, md5(text) AS digest FROM heldout_items WHERE {_ITEM_WORDS} BETWEEN 50 AND 1500")
+def _(s, d):
+    safe = lambda c: F.replace(F.replace(F.col(c), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    page = F.concat(F.lit("<html><p>front</p><h3>"), F.col("item_id").cast("string"), F.lit("</h3><h5>"), safe("lang"), F.lit("</h5><p>"), safe("text"), F.lit("</p><h5>later</h5></html>"))
+    return files.html_sections(table(s, d, "heldout_items").select(page.alias("html")), least=50, place="h5").select("title", "place", F.md5("text").alias("digest"))
+
+
+@query("s8_csv_documents", f"SELECT md5(text) AS digest, CASE WHEN item_id % 3 > 0 THEN item_id / 10.0::DOUBLE END AS proficiency FROM heldout_items WHERE {_ITEM_WORDS} >= 50", "proficiency")
+def _(s, d):
+    path = _folder(s, d, "csv")
+    score = F.when(F.col("item_id") % 3 == 0, "n/a").otherwise((F.col("item_id") / 10).cast("string"))
+    table(s, d, "heldout_items").select("text", score.alias("score")).write.mode("overwrite").csv(path, header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return files.read_csv_documents(s, path, "text", "score", 50).select(F.md5("text").alias("digest"), "proficiency")
+
+
+@query("s22_chat_rows", "SELECT to_json({messages: [{role: 'system', content: 'be brief'}, {role: 'user', content: s_name}, {role: 'assistant', content: s_suppkey::VARCHAR}]})::VARCHAR AS value FROM supplier")
+def _(s, d):
+    path = _folder(s, d, "chat")
+    t = table(s, d, "supplier").select(F.lit("be brief").alias("s"), F.col("s_name").alias("u"), F.col("s_suppkey").cast("string").alias("a"))
+    files.write_chat(files.chat_rows(t, "s", "u", "a"), path)
+    return s.read.text(path)
+
+
 @query("s9_s10_paged_rows", "SELECT min(doc_id) AS doc_id, sha256(text) AS sha256, arg_min(lang, doc_id) AS lang FROM documents WHERE text IS NOT NULL AND lang IN ('en', 'es') AND len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) >= 100 GROUP BY sha256(text)")
 def _(s, d):
     n = table(s, d, "documents").count()

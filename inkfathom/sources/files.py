@@ -45,44 +45,51 @@ def read_csv_documents(spark: SparkSession, path: str, text: str, score: str, le
 
 
 class _Paragraphs(HTMLParser):
-    """Text of the paragraphs under each heading of one level."""
+    """Text of the paragraphs under each heading of one level, and of the first smaller heading."""
 
-    def __init__(self, heading: str):
+    def __init__(self, heading: str, place: str | None = None):
         super().__init__()
-        self.heading, self.sections, self.inside = heading, [], None
+        self.heading, self.place, self.sections, self.inside = heading, place, [], None
 
     def handle_starttag(self, tag, attrs):
         if tag == self.heading:
-            self.sections.append(["", []])
+            self.sections.append(["", [], None])
             self.inside = "title"
+        elif tag == self.place and self.sections and self.sections[-1][2] is None:
+            self.sections[-1][2] = ""
+            self.inside = "place"
         elif tag == "p" and self.sections:
             self.sections[-1][1].append("")
             self.inside = "p"
 
     def handle_endtag(self, tag):
-        if tag in ("p", self.heading):
+        if tag in ("p", self.heading, self.place):
             self.inside = None
 
     def handle_data(self, data):
         if self.inside == "title":
             self.sections[-1][0] += data
+        elif self.inside == "place":
+            self.sections[-1][2] += data
         elif self.inside == "p":
             self.sections[-1][1][-1] += data
 
 
-def html_sections(pages: DataFrame, html: str = "html", heading: str = "h3", least: int = 150, most: int = 1500) -> DataFrame:
-    """(title, text) of the sections of HTML pages, paragraphs joined by blank lines, by number of words."""
+def html_sections(pages: DataFrame, html: str = "html", heading: str = "h3", least: int = 150, most: int = 1500, place: str | None = None) -> DataFrame:
+    """(title, text) of the sections of HTML pages, paragraphs joined by blank lines, by number of words; with
+    ``place``, the text of a section's first heading of that level is a third column of this name."""
+    names = ["title", "text", *(["place"] if place else [])]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             rows = []
             for page in part[html].dropna():
-                p = _Paragraphs(heading)
+                p = _Paragraphs(heading, place)
                 p.feed(page)
-                rows += [(t.strip(), "\n\n".join(x.strip() for x in ps if x.strip())) for t, ps in p.sections]
-            yield pd.DataFrame([r for r in rows if least <= len(r[1].split()) <= most], columns=["title", "text"])
+                rows += [(t.strip(), "\n\n".join(x.strip() for x in ps if x.strip()), w.strip() if w else None) for t, ps, w in p.sections]
+            yield pd.DataFrame([r[: len(names)] for r in rows if least <= len(r[1].split()) <= most], columns=names)
 
-    return pages.select(html).mapInPandas(run, "title string, text string")
+    return pages.select(html).mapInPandas(run, ", ".join(f"{n} string" for n in names))
 
 
 def chat_rows(df: DataFrame, system: str, user: str, assistant: str) -> DataFrame:
