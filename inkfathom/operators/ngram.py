@@ -45,26 +45,26 @@ def fit(df: DataFrame, key: str, text: str = "text", min_count: int = MIN_COUNT)
 def token_logprobs(sentences: DataFrame, keys: list[str], model: dict[str, DataFrame], text: str = "text") -> DataFrame:
     """(keys, pos, w, logprob, seen): natural log of the interpolated probability of each word, padded per sentence.
 
-    The tables are broadcast where their estimated size allows and joined by hash otherwise.
+    Three joins, broadcast where a table's estimated size allows and by hash otherwise: a word's own count comes with the
+    vocabulary, and the denominators are counts of the word before (its own count, and that of its pair), so a window over
+    the sentence gives them.
     """
     uni, bi, tri = model["uni"], model["bi"], model["tri"]
     rows = word_rows(sentences, keys, text)
-    known = checked_broadcast(uni.where(F.col("w") != UNKNOWN).select(F.col("w").alias("v")))
-    mapped = rows.join(known, F.col("w") == F.col("v"), "left").select(*keys, "pos", F.coalesce("v", F.lit(UNKNOWN)).alias("w"))
-    c = _context(mapped, keys)
-    c = c.join(checked_broadcast(uni.select("w", F.col("c").alias("c1"))), "w", "left")
+    known = checked_broadcast(uni.where(F.col("w") != UNKNOWN).select(F.col("w").alias("v"), F.col("c").alias("ck")))
+    one = model["meta"].crossJoin(uni.where(F.col("w") == UNKNOWN).agg(F.sum("c").alias("cu")))
+    mapped = rows.join(known, F.col("w") == F.col("v"), "left").crossJoin(F.broadcast(one))  # one row
+    zero = F.lit(0)
+    mapped = mapped.select(*keys, "pos", F.coalesce("v", F.lit(UNKNOWN)).alias("w"), F.coalesce("ck", "cu", zero).alias("c1"), "total_tokens", "vocab_size", "n_documents")
+    o = W.partitionBy(*keys).orderBy("pos")
+    c = _context(mapped, keys).withColumn("d2", F.lag("c1").over(o))
     c = c.join(checked_broadcast(bi.select("b", "w", F.col("c").alias("c2"))), ["b", "w"], "left")
     c = c.join(checked_broadcast(tri.select("a", "b", "w", F.col("c").alias("c3"))), ["a", "b", "w"], "left")
-    # Denominators: how often the context was seen; the start has the number of documents.
-    c = c.join(checked_broadcast(uni.select(F.col("w").alias("b"), F.col("c").alias("d2"))), "b", "left")
-    c = c.join(checked_broadcast(bi.select(F.col("b").alias("a"), F.col("w").alias("b"), F.col("c").alias("d3"))), ["a", "b"], "left")
-    c = c.crossJoin(F.broadcast(model["meta"]))  # one row
-    zero = F.lit(0)
-    p1 = (F.coalesce("c1", zero) + 1) / (F.col("total_tokens") + F.col("vocab_size"))
+    c = c.withColumn("d3", F.coalesce(F.lag("c2").over(o), zero))
+    p1 = (F.col("c1") + 1) / (F.col("total_tokens") + F.col("vocab_size"))
     d2 = F.when(F.col("b") == START, F.col("n_documents")).otherwise(F.coalesce("d2", zero))
     p2 = F.when(d2 > 0, F.coalesce("c2", zero) / d2).otherwise(p1)
-    d3 = F.coalesce("d3", zero)
-    p3 = F.when(d3 > 0, F.coalesce("c3", zero) / d3).otherwise(p2)
+    p3 = F.when(F.col("d3") > 0, F.coalesce("c3", zero) / F.col("d3")).otherwise(p2)
     p = F.greatest(WEIGHTS[0] * p3 + WEIGHTS[1] * p2 + WEIGHTS[2] * p1, F.lit(FLOOR))
     return c.select(*keys, "pos", "w", F.log(p).alias("logprob"), (F.coalesce("c3", zero) > 0).alias("seen"), "a", "b")
 
