@@ -366,9 +366,8 @@ def decode(cands: list, weights: dict[str, float]) -> list[tuple[int, int, str]]
     return out[::-1]
 
 
-def _marginals(cands: list, weights: dict[str, float]) -> list[float]:
-    """Probability of each candidate under the model: forward and backward sums over the lattice."""
-    segs = _lattice(cands, weights)
+def _marginals(segs: list[tuple[int, int, float]]) -> list[float]:
+    """Probability of each scored segment (start, end, score): forward and backward sums over the lattice."""
     points = sorted({0, *(x for a, b, _ in segs for x in (a, b))})
     at = {p: i for i, p in enumerate(points)}
     n = len(points)
@@ -577,29 +576,32 @@ _WORD_FEATURE = re.compile(r"\|(?:l1|l2|r1)=")
 @functools.cache
 def trained(lines: int = TRAINING_LINES, epochs: int = EPOCHS, seed: int = 11) -> dict[str, float]:
     """Weights by feature: AdaGrad on the conditional likelihood of the lattices, with a small quadratic penalty."""
+    number: dict[str, int] = {}
     data = []
     for text, spans in labelled_lines(lines, seed):
         cands = candidates(text)
         gold = set(spans)
         if cands:
-            data.append((cands, [1.0 if (a, b, k) in gold else 0.0 for a, b, k, _ in cands]))
-    w: dict[str, float] = {}
-    g2: dict[str, float] = {}
+            # Features by number, and without the neighbouring words themselves, so that their classes carry weight, too.
+            full = [[number.setdefault(f, len(number)) for f in fs] for _, _, _, fs in cands]
+            classes = [[number[f] for f in fs if not _WORD_FEATURE.search(f)] for _, _, _, fs in cands]
+            data.append(([(a, b) for a, b, _, _ in cands], full, classes, [1.0 if (a, b, k) in gold else 0.0 for a, b, k, _ in cands]))
+    w, g2 = [0.0] * len(number), [0.0] * len(number)
     r = random.Random(seed)
     for _ in range(epochs):
         r.shuffle(data)
-        for cands, gold in data:
-            if r.random() < 0.5:  # half of the time without the neighbouring words themselves, so that their classes carry weight
-                cands = [(a, b, k, [f for f in fs if not _WORD_FEATURE.search(f)]) for a, b, k, fs in cands]
-            for (_, _, _, fs), y, p in zip(cands, gold, _marginals(cands, w), strict=True):
+        for places, full, classes, gold in data:
+            used = classes if r.random() < 0.5 else full
+            segs = [(a, b, sum([w[f] for f in fs])) for (a, b), fs in zip(places, used, strict=True)]
+            for fs, y, p in zip(used, gold, _marginals(segs), strict=True):
                 g = y - p
                 if abs(g) < 1e-3:
                     continue
                 for f in fs:
-                    h = g - 1e-4 * w.get(f, 0.0)
-                    g2[f] = g2.get(f, 0.0) + h * h
-                    w[f] = w.get(f, 0.0) + 0.5 * h / math.sqrt(g2[f] + 0.1)
-    return w
+                    h = g - 1e-4 * w[f]
+                    g2[f] += h * h
+                    w[f] += 0.5 * h / math.sqrt(g2[f] + 0.1)
+    return {f: w[i] for f, i in number.items() if w[i]}
 
 
 #: Words of Cyrillic letters alone, one of them unlike any Latin letter.

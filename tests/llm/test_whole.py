@@ -1,10 +1,13 @@
 """Cases that cuts in the operators would lose."""
 
-import unicodedata
-
 import random
+import unicodedata
+from pathlib import Path
 
 import numpy as np
+import pyarrow.parquet as pq
+import pytest
+import regex
 
 from inkfathom.llm import components, leakage, personal, sentences, textform, truncation
 
@@ -60,6 +63,17 @@ def test_towns_end_at_the_sentence():
     assert ("ул. Ленина, д. 5, кв. 12", "address") in spans_of("Живу: ул. Ленина, д. 5, кв. 12.")
 
 
+def test_training_lines_are_not_taken_from_the_documents():
+    path = Path("/root/testdata/sf0.01/documents.parquet")
+    if not path.exists():
+        pytest.skip("no test tables")
+    texts = pq.read_table(path, columns=["text"])["text"].to_pylist()
+    runs = lambda t: {tuple(w[i : i + 6]) for w in [regex.findall(r"[\p{L}\p{M}']+", t.lower())] for i in range(len(w) - 5)}
+    assert not set().union(*(runs(t) for t in texts if t)) & set().union(*(runs(t) for t, _ in personal.labelled_lines(4000)))
+    whole = "\n".join(t for t in texts if t)
+    assert not [p for f in personal._FRAMES for p in regex.split(r"\{[A-Z]\}", f.replace("\\n", "\n")) if len(p) >= 8 and p in whole]
+
+
 # Frames that share no phrase with those of training.
 HELD_OUT = """Somebody said that {N} had won.|Have you seen {N} lately?|{N} opened the door.|The prize went to {N} this year.|Photo: {N}|Thanks go out to {N}, our host.|Editor {N} read it twice.|For tickets, ring {P}.|Any news goes to {E} first.|Our landline is {P} and it rings.|{A} is where I grew up.|Leave the box at {A} before noon.
 The permit bears {I}.|He gave his identity number as {I}.|Ayer vi a {N}.|Hier soir, {N} chantait.|Neulich kam {N} vorbei.|Send flowers to {N}, {A}.""".replace("\n", "|").split("|")
