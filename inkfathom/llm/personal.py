@@ -39,7 +39,7 @@ from inkfathom.llm.sentences import shadow
 
 KINDS = ("email", "phone", "id_number", "address", "name")
 PLACEHOLDERS = {k: f"[{k.upper()}]" for k in KINDS}
-TRAINING_LINES, EPOCHS = 9000, 6
+TRAINING_LINES, EPOCHS = 6000, 5
 #: A name has at most this many parts.
 PARTS = 7
 #: Vocabularies whose single tokens count as ordinary words.
