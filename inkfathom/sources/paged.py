@@ -45,17 +45,30 @@ def json_page(options: dict, page: int) -> list[dict]:
 
 
 def parquet_page(options: dict, page: int) -> list[dict]:
-    """Rows of a Parquet file, ``page_size`` at a time, in the file's order; only ``columns`` are read."""
+    """Rows of a Parquet file or of a folder of them, ``page_size`` at a time, in the order of the files' names; only
+    ``columns`` are read. Of a row group only the batches up to the page's last row are decoded."""
+    import pyarrow.dataset as ds
     import pyarrow.parquet as pq
 
-    size = int(options.get("page_size", PAGE))
-    rows, first, out = pq.ParquetFile(options["path"]), 0, []
-    for g in range(rows.num_row_groups):
-        n = rows.metadata.row_group(g).num_rows
-        lo, hi = max(0, page * size - first), min(n, (page + 1) * size - first)
-        if lo < hi:
-            out += rows.read_row_group(g, columns=options["columns"].split(",")).slice(lo, hi - lo).to_pylist()
-        first += n
+    size, columns = int(options.get("page_size", PAGE)), options["columns"].split(",")
+    first, out = 0, []
+    for path in sorted(ds.dataset(options["path"].removeprefix("file://"), format="parquet").files):
+        with pq.ParquetFile(path) as rows:
+            for g in range(rows.num_row_groups):
+                n = rows.metadata.row_group(g).num_rows
+                lo, hi = max(0, page * size - first), min(n, (page + 1) * size - first)
+                first += n
+                if lo >= hi:
+                    continue
+                at = 0
+                for batch in rows.iter_batches(min(size, 4096), row_groups=[g], columns=columns):
+                    if at + batch.num_rows > lo:
+                        out += batch.slice(max(0, lo - at), hi - max(lo, at)).to_pylist()
+                    at += batch.num_rows
+                    if at >= hi:
+                        break
+        if first >= (page + 1) * size:
+            break
     return out
 
 

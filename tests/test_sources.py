@@ -28,6 +28,26 @@ def test_paged_rows_and_posts(spark, tmp_path):
     assert [x.id for x in r] == ["a"] and "& more\n\nword" in r[0].text and r[0].n_words == 242
 
 
+def test_pages_of_a_folder_of_parquet_files(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    folder = tmp_path / "documents.parquet"
+    folder.mkdir()
+    sizes = (7, 0, 1, 23, 9)
+    starts = [sum(sizes[:i]) for i in range(len(sizes))]
+    for i, (a, n) in enumerate(zip(starts, sizes)):  # pages go over files and row groups, an empty file included
+        pq.write_table(pa.table({"k": pa.array(range(a, a + n), pa.int64()), "other": pa.array(["x"] * n, pa.string())}), folder / f"part-{i}.parquet", row_group_size=5)
+    (folder / "_SUCCESS").write_text("")
+    for path in (str(folder), f"file://{folder}"):
+        options = {"fetch": "inkfathom.sources.paged:parquet_page", "path": path, "pages": "7", "page_size": "6", "columns": "k"}
+        assert [[r["k"] for r in paged.parquet_page(options, p)] for p in range(8)] == [list(range(p * 6, min(40, p * 6 + 6))) for p in range(8)]
+    paged.register(spark)
+    assert sorted(r.k for r in spark.read.format("paged_rows").schema("k bigint").options(**options).load().collect()) == list(range(40))
+    single = options | {"path": str(folder / "part-3.parquet")}
+    assert [r["k"] for r in paged.parquet_page(single, 3)] == list(range(26, 31))
+
+
 def test_unknown_format_raises(spark):
     with pytest.raises(Exception, match="(?i)data.?source|find"):
         spark.read.format("no_such_rows").load()
