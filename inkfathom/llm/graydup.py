@@ -1,8 +1,9 @@
 """Near-duplicate records with small edits: a Gray-order hierarchical index over min-hash fingerprints.
 
-Each class of records (see :mod:`shingles`) gets a fingerprint of 128 one-bit min-hashes. Two sets with similarity J
-differ in a bit with probability (1 - J) / 2, so the Hamming distance of pairs at the threshold concentrates around 64
-(1 - J); ``max_distance`` leaves 4.5 standard deviations.
+Each class of records (see :mod:`shingles`) gets a fingerprint of 128 two-bit min-hashes. Two sets with similarity J
+differ in one with probability 3 (1 - J) / 4, so the number of differences of pairs at the threshold concentrates
+around 96 (1 - J); ``max_distance`` leaves 4.5 standard deviations. Unrelated sets differ in 96 of 128: 4.7 deviations
+beyond the bound at 0.5 (one-bit min-hashes: 1.6), so hardly any unrelated pair is left to be verified.
 
 The index is distributed by its upper nodes: the patterns of ``BANDS`` bands of ``ROWS`` min-hashes each. A pair at
 J = 0.5 shares none of 32 two-row patterns with probability 0.75^32 = 1e-4, a pair at 0.7 with 4e-10. Below an upper
@@ -11,6 +12,9 @@ whose common bits (a mask and its pattern) are factored into the node above, and
 nodes and drops a whole pair of groups as soon as the differences of their masked patterns exceed the bound. What is
 left is verified exactly on the shingle sets. An upper node with no more classes than a leaf holds is a single leaf.
 
+Sets are several times as large as the texts, so no set is stored: one pass over the texts keeps what the index needs of
+them, and the sets of the few classes that are left to verify are made again. The bands are searched ``PASS`` at a time.
+
 An upper node with more than ``TILE`` classes is cut into blocks; each pair of blocks is a task of its own, so that no
 group is collected whole, and no record is dropped.
 """
@@ -23,15 +27,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from inkfathom.llm import shingles
-from inkfathom.session import checked_broadcast, cut_lineage
+from inkfathom.session import counted_broadcast, cut_lineage, release
 
-BITS, BANDS, ROWS, LEAF, FAN, TILE = 128, 32, 2, 16, 8, 4096
+BITS, PLANES, BANDS, ROWS, PASS, LEAF, FAN, TILE = 128, 2, 32, 2, 8, 16, 8, 4096
+WORDS = PLANES * BITS // 64
 
 
-def max_distance(least: float, bits: int = BITS) -> int:
-    p = (1 - least) / 2
+def max_distance(least: float, bits: int = BITS, planes: int = PLANES) -> int:
+    p = (1 - least) * (1 - 0.5**planes)
     return int(np.ceil(bits * p + 4.5 * np.sqrt(bits * p * (1 - p))))
 
 
@@ -67,10 +73,17 @@ def gray_rank(words: np.ndarray) -> np.ndarray:
     return out
 
 
+def differences(apart: np.ndarray, planes: int) -> np.ndarray:
+    """Number of min-hashes that differ, from the words that show the bits that do; planes lie one after the other."""
+    width = apart.shape[1] // planes
+    return np.bitwise_count(np.bitwise_or.reduce(apart.reshape(len(apart), planes, width), axis=1)).sum(axis=1, dtype=np.int64)
+
+
 class GrayIndex:
-    """Hierarchical index over fingerprints (rows of 64-bit words)."""
+    """Hierarchical index over fingerprints (rows of 64-bit words, the planes of their bits one after the other)."""
 
-    def __init__(self, words: np.ndarray):
+    def __init__(self, words: np.ndarray, planes: int = 1):
+        self.planes = planes
         rank = gray_rank(words)
         self.order = np.lexsort([rank[:, w] for w in reversed(range(rank.shape[1]))])
         self.words = words[self.order]
@@ -87,7 +100,7 @@ class GrayIndex:
     def _close(self, level: int, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
         """Whether the accumulated differences of two nodes' common bits are within the bound."""
         mask, bits = self.levels[level]
-        return np.bitwise_count((bits[a] ^ bits[b]) & mask[a] & mask[b]).sum(axis=1) <= most
+        return differences((bits[a] ^ bits[b]) & mask[a] & mask[b], self.planes) <= most
 
     def pairs(self, most: int) -> tuple[np.ndarray, np.ndarray]:
         """Row numbers (in the order given) of all pairs within ``most`` differences."""
@@ -108,33 +121,39 @@ class GrayIndex:
             i, j = np.broadcast_arrays(x[:, None, None] * LEAF + np.arange(LEAF)[None, :, None], y[:, None, None] * LEAF + np.arange(LEAF)[None, None, :])
             ok = (i < j) & (j < len(self.words))
             i, j = i[ok], j[ok]
-            near = np.bitwise_count(self.words[i] ^ self.words[j]).sum(axis=1) <= most
+            near = differences(self.words[i] ^ self.words[j], self.planes) <= most
             out.append(np.stack([i[near], j[near]], 1))
         p = np.concatenate(out) if out else np.empty((0, 2), np.int64)
         return self.order[p[:, 0]], self.order[p[:, 1]]
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    shifts = np.arange(64, dtype=np.uint64)
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        sh = batch.column("sh")
-        flat = sh.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-        starts = np.asarray(sh.offsets)[:-1] - sh.offsets[0].as_py()
-        mh = min_hashes(flat, starts, BITS)
-        bits = mh & np.uint64(1)
-        fp = [np.bitwise_or.reduce(bits[:, w * 64 : w * 64 + 64] << shifts[::-1], axis=1).view(np.int64) for w in range(BITS // 64)]
-        # The pattern of a band: its min-hashes and its number, mixed into one key.
-        bands = np.zeros((len(mh), BANDS), np.uint64)
-        for r in range(ROWS):
-            bands = (bands ^ mh[:, r * BANDS : (r + 1) * BANDS]) * np.uint64(0x9E3779B97F4A7C15)
-            bands ^= bands >> np.uint64(32)
-        bands += np.arange(BANDS, dtype=np.uint64)
-        yield pa.record_batch({
-            "node": pa.array(bands.reshape(-1).view(np.int64)), "cls": pa.array(np.repeat(batch.column("cls").to_numpy(), BANDS)),
-            "f0": pa.array(np.repeat(fp[0], BANDS)), "f1": pa.array(np.repeat(fp[1], BANDS)),
-        })
+def _records(key: str, key_type, k: int):
+    """What the index keeps of each record: its class and size, fingerprint, parity bits and upper nodes."""
+    sets = shingles._sets(key, key_type, k)
+    shifts = np.arange(63, -1, -1, dtype=np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sets(batches):
+            flat, starts = batch.column("sh").flatten().to_numpy(), np.asarray(batch.column("sh").offsets)
+            sizes, starts = np.diff(starts), starts[:-1] - starts[0]
+            mh = min_hashes(flat.view(np.uint64), starts, BITS)
+            out = {key: batch.column(key), "cls": batch.column("cls"), "n": batch.column("n")}
+            for p in range(PLANES):
+                bits = (mh >> np.uint64(p)) & np.uint64(1)
+                for w in range(BITS // 64):
+                    out[f"f{p * BITS // 64 + w}"] = pa.array(np.bitwise_or.reduce(bits[:, w * 64 : w * 64 + 64] << shifts, axis=1).view(np.int64))
+            parity = shingles.parity_words(np.repeat(np.arange(len(sizes)), sizes), flat, len(sizes))
+            out |= {f"b{w}": pa.array(parity[:, w]) for w in range(shingles.PARITY)}
+            # The pattern of a band: its min-hashes and its number, mixed into one key.
+            bands = np.zeros((len(mh), BANDS), np.uint64)
+            for r in range(ROWS):
+                bands = (bands ^ mh[:, r * BANDS : (r + 1) * BANDS]) * np.uint64(0x9E3779B97F4A7C15)
+                bands ^= bands >> np.uint64(32)
+            bands += np.arange(BANDS, dtype=np.uint64)
+            out["nodes"] = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS, dtype=np.int32)), pa.array(bands.reshape(-1).view(np.int64)))
+            yield pa.record_batch(out)
+
+    return run
 
 
 def _search(most: int):
@@ -174,14 +193,14 @@ def _search(most: int):
             else:
                 n = table.num_rows
             sizes = np.diff(np.concatenate([starts, [n]]))
-            words = np.stack([t["f0"][:n].view(np.uint64), t["f1"][:n].view(np.uint64)], 1)
+            words = np.stack([t[f"f{w}"][:n].view(np.uint64) for w in range(WORDS)], 1)
             pairs = []
             for i, j in leaf_pairs(sizes, starts):
-                near = np.bitwise_count(words[i] ^ words[j]).sum(axis=1) <= most
+                near = differences(words[i] ^ words[j], PLANES) <= most
                 pairs.append((i[near], j[near]))
             for k in np.flatnonzero(sizes > LEAF):
                 lo, hi = starts[k], starts[k] + sizes[k]
-                i, j = GrayIndex(words[lo:hi]).pairs(most)
+                i, j = GrayIndex(words[lo:hi], PLANES).pairs(most)
                 i, j = i + lo, j + lo
                 if t["i"][lo] != t["j"][lo]:  # two blocks: pairs within one of them belong to another tile
                     other = t["block"][i] != t["block"][j]
@@ -194,20 +213,51 @@ def _search(most: int):
     return run
 
 
-def near_classes(classes: DataFrame, least: float) -> DataFrame:
-    """(a, b, o) of classes with similarity of at least ``least``; o is the number of shared shingles."""
-    rows = cut_lineage(classes.select("cls", "sh").mapInArrow(_fingerprints, "node bigint, cls bigint, f0 bigint, f1 bigint"))
+def _band_pairs(classes: DataFrame, bands: range, least: float) -> DataFrame:
+    """(a, b): candidates that share an upper node in one of the bands, each once."""
+    words = [f"f{w}" for w in range(WORDS)]
+    rows = classes.select(F.explode(F.slice("nodes", bands.start + 1, len(bands))).alias("node"), "cls", *words)
     # Upper nodes beyond a tile, at most rows / TILE of them, become block x block tasks; all others keep one tile.
-    heavy = rows.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > TILE)
-    shared = rows.join(checked_broadcast(cut_lineage(heavy)), "node", "left")
-    blocks = F.ceil(F.col("n") / (TILE / 2)).cast("int")
-    block = F.coalesce(F.pmod(F.xxhash64("cls"), blocks), F.lit(0)).cast("int")
-    tiles = F.coalesce(F.sequence(F.lit(0), blocks - 1), F.array(F.lit(0)))
-    placed = shared.withColumn("block", block).withColumn("other", F.explode(tiles))
-    placed = placed.select("node", "cls", "f0", "f1", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    heavy = cut_lineage(rows.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > TILE))
+    if heavy.isEmpty():
+        placed = rows.select("node", "cls", *words, F.lit(0).alias("block"), F.lit(0).alias("i"), F.lit(0).alias("j"))
+    else:
+        shared = rows.join(counted_broadcast(heavy, 24), "node", "left")
+        blocks = F.ceil(F.col("n") / (TILE / 2)).cast("int")
+        block = F.coalesce(F.pmod(F.xxhash64("cls"), blocks), F.lit(0)).cast("int")
+        tiles = F.coalesce(F.sequence(F.lit(0), blocks - 1), F.array(F.lit(0)))
+        placed = shared.withColumn("block", block).withColumn("other", F.explode(tiles))
+        placed = placed.select("node", "cls", *words, "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     parts = placed.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j")
-    found = parts.mapInArrow(_search(max_distance(least)), "a bigint, b bigint")
-    return shingles.verified_pairs(shingles.plausible_pairs(found.where("a <> b"), classes, least), classes, least)
+    return parts.mapInArrow(_search(max_distance(least)), "a bigint, b bigint").where("a <> b").distinct()
+
+
+def near_classes(df: DataFrame, key: str, column: str, k: int, least: float) -> tuple[DataFrame, DataFrame]:
+    """(members, pairs), both cut from their lineage. members: (key, cls), one row per key; of several rows with one key the
+    smallest class counts. pairs: (a, b, o) of classes with similarity of at least ``least``; o is the number of shared
+    shingles. Records with a null key or text, or with fewer than k words, have no class.
+    """
+    spark, kind = df.sparkSession, df.schema[key].dataType
+    longs = [*(f"f{w}" for w in range(WORDS)), *(f"b{w}" for w in range(shingles.PARITY))]
+    schema = T.StructType([T.StructField(key, kind), T.StructField("cls", T.LongType()), T.StructField("n", T.IntegerType()), *(T.StructField(c, T.LongType()) for c in longs), T.StructField("nodes", T.ArrayType(T.LongType()))])
+    texts = df.where(F.col(key).isNotNull() & F.col(column).isNotNull()).select(key, F.col(column).alias("text"))
+    records = cut_lineage(texts.mapInArrow(_records(key, kind, k), schema))
+    members = cut_lineage(records.groupBy(key).agg(F.min("cls").alias("cls")))
+    classes = cut_lineage(records.drop(key).dropDuplicates(["cls"]))
+    del records
+    release(spark)
+    found = None
+    for at in range(0, BANDS, PASS):
+        part = cut_lineage(_band_pairs(classes, range(at, at + PASS), least))
+        found = part if found is None else found.unionAll(part)
+        release(spark)
+    near = cut_lineage(shingles.plausible_pairs(found, classes.drop("nodes"), least))
+    del classes, found, part
+    release(spark)
+    needed = near.select(F.col("a").alias("cls")).unionAll(near.select(F.col("b").alias("cls"))).distinct()
+    chosen = cut_lineage(members.join(needed, "cls", "left_semi").groupBy("cls").agg(F.min(key).alias(key)).select(key))
+    sets = cut_lineage(shingles.sets_of(df, counted_broadcast(chosen, 64), key, column, k))
+    return members, cut_lineage(shingles.verified_pairs(near, sets, least))
 
 
 def near_duplicate_pairs(df: DataFrame, key: str = "id", column: str = "text", k: int = 3, least: float = 0.5) -> DataFrame:
@@ -216,12 +266,12 @@ def near_duplicate_pairs(df: DataFrame, key: str = "id", column: str = "text", k
     Exact copies are pairs too. Null keys and texts, and texts with fewer than k words, are in no pair. Rows with the
     same key are one record. The order of rows, repeated rows and further columns make no difference.
     """
-    members, classes = shingles.shingle_classes(df, key, column, k)
-    links = near_classes(classes, least).select("a", "b")
-    same = members.groupBy("cls").agg(F.count("*").alias("n")).where("n > 1").select(F.col("cls").alias("a"), F.col("cls").alias("b"))
+    members, near = near_classes(df, key, column, k, least)
+    release(df.sparkSession)
     m = members.select(key, "cls")
-    across = shingles.member_pairs(links, m, m, key)
-    within = shingles.member_pairs(same, m, m, key).where("id_a < id_b").distinct()
+    across = shingles.member_pairs(near, m, m, key)
+    x, y = m.select("cls", F.col(key).alias("id_a")), m.select("cls", F.col(key).alias("id_b"))
+    within = x.join(y, "cls").where("id_a < id_b").select("id_a", "id_b")
     return across.unionByName(within)
 
 
@@ -230,8 +280,7 @@ def near_duplicate_classes(df: DataFrame, key: str = "doc_id", column: str = "te
     shingles), the number of records in that class and the number of other classes with a similarity of at least
     ``least``. Records without k words have no class, 0 copies and 0 links.
     """
-    members, classes = shingles.shingle_classes(df, key, column, k)
-    near = near_classes(classes, least)
+    members, near = near_classes(df, key, column, k, least)
     links = near.select(F.col("a").alias("cls")).unionAll(near.select(F.col("b").alias("cls"))).groupBy("cls").agg(F.count("*").alias("links"))
     sizes = members.groupBy("cls").agg(F.count("*").alias("copies"), F.min(key).alias("class_id"))
     known = members.join(sizes.join(links, "cls", "left"), "cls")

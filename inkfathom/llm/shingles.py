@@ -104,18 +104,9 @@ def parity_words(row: np.ndarray, t: np.ndarray, n: int) -> np.ndarray:
     return np.bitwise_or.reduce(odd.astype(np.uint64) << np.arange(64, dtype=np.uint64), axis=2).view(np.int64)
 
 
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sizes = np.diff(np.asarray(batch.column("sh").offsets))
-        words = parity_words(np.repeat(np.arange(len(sizes)), sizes), batch.column("sh").flatten().to_numpy(zero_copy_only=False), len(sizes))
-        yield pa.record_batch({"cls": batch.column("cls"), "n": batch.column("n")} | {f"b{w}": pa.array(words[:, w]) for w in range(PARITY)})
-
-
-def plausible_pairs(candidates: DataFrame, classes: DataFrame, least: float) -> DataFrame:
-    """The distinct candidates (a, b) whose sizes and signatures allow the similarity; nothing at or above it is lost.
-    Signatures are a twentieth of a usual set, so this comes before the sets themselves are moved."""
-    bits = ", ".join(f"b{w} bigint" for w in range(PARITY))
-    sig = cut_lineage(classes.select("cls", "n", "sh").mapInArrow(_signatures, f"cls bigint, n int, {bits}"))
+def plausible_pairs(candidates: DataFrame, sig: DataFrame, least: float) -> DataFrame:
+    """The distinct candidates (a, b) whose sizes and signatures (cls, n, b0, ...) allow the similarity; nothing at or
+    above it is lost. Signatures are a twentieth of a usual set, so this comes before the sets themselves are made."""
     x, y = sig.alias("x"), sig.alias("y")
     need = f"{least / (1 + least)!r} * (x.n + y.n) - 1e-9"
     apart = " + ".join(f"bit_count(x.b{w} ^ y.b{w})" for w in range(PARITY))
@@ -123,6 +114,14 @@ def plausible_pairs(candidates: DataFrame, classes: DataFrame, least: float) ->
     return joined.select("c.a", "c.b")
 
 
+def sets_of(df: DataFrame, records: DataFrame, key: str, column: str, k: int) -> DataFrame:
+    """(cls, sh): the shingle sets of the texts of some records (key), made again from the text."""
+    kind = df.schema[key].dataType
+    schema = T.StructType([T.StructField(key, kind), T.StructField("cls", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("sh", T.ArrayType(T.LongType()))])
+    texts = df.where(F.col(key).isNotNull() & F.col(column).isNotNull()).select(key, F.col(column).alias("text"))
+    return texts.join(records, key, "left_semi").mapInArrow(_sets(key, kind, k), schema).groupBy("cls").agg(F.first("sh").alias("sh"))
+
+
 def verified_pairs(candidates: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     """(a, b) of the distinct candidates whose sets have a Jaccard similarity of at least ``least``; exact."""
     a = classes.select(F.col("cls").alias("a"), F.col("sh").alias("sa"))

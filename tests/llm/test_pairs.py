@@ -4,6 +4,7 @@ import random
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 from pyspark.sql import functions as F
@@ -58,6 +59,25 @@ def test_near_duplicate_classes(spark, corpus):
     assert r["copy1"].copies == 3 and r["null"].class_id is None and r["short"].links == 0 and len(r) == len(corpus)
 
 
+def test_gray_index_stores_sets_only_of_likely_pairs(spark, monkeypatch):
+    words = random.Random(8)
+    texts = [" ".join(f"w{words.randint(0, 10**6)}" for _ in range(40)) for _ in range(60)]
+    df = spark.createDataFrame([(f"k{i:02}", t) for i, t in enumerate([*texts, texts[0] + " more", texts[1]])], "id string, text string")
+    stored, cut = [], graydup.cut_lineage
+    for module in (graydup, graydup.shingles):
+        monkeypatch.setattr(module, "cut_lineage", lambda x: [stored.append(got := cut(x)), got][1])
+    assert set(map(tuple, graydup.near_duplicate_pairs(df).collect())) == {("k00", "k60"), ("k01", "k61")}
+    assert sum(x.count() for x in stored if "sh" in x.columns) == 2  # of 61 classes
+
+
+def test_unrelated_classes_of_one_node_are_no_candidates():
+    rng = np.random.default_rng(4)
+    n = 600
+    table = pa.table({"node": np.zeros(n, np.int64), "cls": np.arange(n), **{f"f{w}": rng.integers(-(2**63), 2**63, n, dtype=np.int64) for w in range(4)}, **{c: np.zeros(n, np.int32) for c in ("block", "i", "j")}})
+    found = list(graydup._search(graydup.max_distance(0.5))(iter(table.to_batches())))
+    assert sum(b.num_rows for b in found) < n  # of 179,700 pairs
+
+
 def test_gray_index_finds_all_pairs():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2**63, (40, 2), dtype=np.int64).view(np.uint64)
