@@ -107,6 +107,19 @@ def test_cross_split(spark, corpus):
     assert (rep.role, rep.overlapping, rep.essays) == ("ablation", len(held), sum(v == "ablation" for v in role.values()))
 
 
+def test_cross_split_stores_a_set_once(spark, monkeypatch):
+    words = random.Random(9)
+    texts = [" ".join(f"w{words.randint(0, 10**6)}" for _ in range(40)) for _ in range(60)]
+    rows = [(f"k{i:02}", t, "train", "s") for i, t in enumerate(texts)] + [("k60", texts[0] + " more", "ablation", "s"), ("k61", texts[1], "ablation", "s")]
+    df = spark.createDataFrame(rows, "id string, text string, role string, source_id string")
+    stored, cut = [], crosssplit.cut_lineage
+    for module in (crosssplit, crosssplit.shingles):
+        monkeypatch.setattr(module, "cut_lineage", lambda x: [stored.append(got := cut(x)), got][1])
+    monkeypatch.setattr(crosssplit, "MEETINGS", 1, raising=False)  # lists are met in blocks
+    assert set(map(tuple, crosssplit.cross_split_pairs(df).collect())) == {("k00", "k60"), ("k01", "k61")}
+    assert sum(x.where("sh IS NOT NULL").count() for x in stored if "sh" in x.columns) == 61 + 2  # classes, and those of the pair
+
+
 def test_no_rows(spark):
     empty = spark.createDataFrame([], "id string, text string, role string, source_id string, meta string")
     assert graydup.near_duplicate_pairs(empty).count() == 0 and crosssplit.cross_split_pairs(empty).count() == 0 and components.essay_groups(empty).count() == 0
